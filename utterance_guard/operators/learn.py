@@ -32,10 +32,10 @@ class Settings:
     """``decay`` and ``rounds`` are what selection varies; the rest describes the features."""
 
     decay: float = 0.01
-    rounds: int = 10
+    rounds: int = 20
     kind: str = "word"
     vocab_size: int = 1 << 16
-    min_docs: float = 1.0
+    min_docs: float = 0.01
     balanced: bool = True
 
 

@@ -4,11 +4,12 @@ Two plans give the same hits.
 
 * A lexicon of up to ``INLINE_LIMIT`` entries becomes part of the projection: each text is
   tested against each word, in place, with no join and no shuffle.
-* A larger one is joined on an anchor. The anchor of a word is its first few characters, that
-  of a phrase its first token. A text gives each anchor once, only words that share an anchor
-  are tested, and only hits are shuffled. The lexicon is broadcast while its counted size
-  allows. Past that it is shuffled, with both sides salted, because one anchor may occur in a
-  large part of all texts.
+* A larger one is joined. The text is cut into windows, one per position; a window meets the
+  words that begin with the same few characters, its anchor, and a prefix test settles the
+  match, so the text itself is not searched again. Phrases are anchored on their first token.
+  Only hits are shuffled. The lexicon is broadcast while its counted size allows. Past that it
+  is shuffled, with both sides salted, because one anchor may occur in a large part of all
+  texts.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import types as T
 
 from utterance_guard.functions.text import normalize, phrase_form
 from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
+from utterance_guard.operators.stages import settle
 from utterance_guard.sources.files import PHRASE, SUBSTRING
 
 INLINE_LIMIT = 128
 ANCHOR_CHARS = 4
+WINDOW_CHARS = 32
 SALTS = 32
 PHRASE_MARKER = "[phrase]"
 
@@ -64,9 +67,8 @@ def blocklist(
             "hits", F.coalesce("hits", F.array().cast(HITS))
         )
     else:
-        found = prepared.withColumn("phrase_text", phrase_form(text)).withColumn(
-            "hits", _inline_hits(few, marker)
-        )
+        held = prepared.withColumn("phrase_text", _phrase_candidates(few, text))
+        found = settle(held, hits=_inline_hits(few, marker))
     return found.select(
         *prepared.columns,
         (F.size("hits") > 0).alias("matched"),
@@ -88,12 +90,8 @@ def _inline_hits(entries: list, marker: str) -> Column:
 
     def any_phrase(source: str) -> Column:
         # spelled out, since inside a lambda the optimizer may redo phrase_form per phrase
-        tests = [
-            F.contains("phrase_text", F.lit(f" {e['word']} "))
-            for e in phrases
-            if e["source"] == source
-        ]
-        return reduce(operator.or_, tests)
+        padded = [f" {e['word']} " for e in phrases if e["source"] == source]
+        return reduce(operator.or_, [F.contains("phrase_text", F.lit(p)) for p in padded])
 
     parts = []
     words = [literal(0, e, e["word"]) for e in ordered if e["mode"] == SUBSTRING]
@@ -113,6 +111,20 @@ def _inline_hits(entries: list, marker: str) -> Column:
     return F.concat(*parts) if parts else F.array().cast(HITS)
 
 
+def _phrase_candidates(entries: list, text: str) -> Column:
+    """The phrase form of texts that have all tokens of some phrase, null for the others: a
+    search for the tokens is much cheaper than that form."""
+    lowered = F.lower(text)
+    tests = [
+        reduce(operator.and_, [F.contains(lowered, F.lit(t)) for t in e["word"].split(" ")])
+        for e in entries
+        if e["mode"] == PHRASE
+    ]
+    if not tests:
+        return F.lit(None).cast("string")
+    return F.when(reduce(operator.or_, tests), phrase_form(text))
+
+
 def _joined_hits(
     df: DataFrame,
     lexicon: DataFrame,
@@ -122,41 +134,36 @@ def _joined_hits(
     can_broadcast: bool | None,
 ) -> DataFrame:
     """``row_id, hits`` for the rows with a hit."""
-    substrings = lexicon.filter(F.col("mode") == SUBSTRING).withColumn("needle", F.col("word"))
-    phrases = lexicon.filter(F.col("mode") == PHRASE).withColumn(
-        "needle", F.concat(F.lit(" "), "word", F.lit(" "))
+    substrings = lexicon.filter(F.col("mode") == SUBSTRING).select(
+        F.substring("word", 1, ANCHOR_CHARS).alias("anchor"),
+        F.substring("word", 1, WINDOW_CHARS).alias("head"),
+        F.col("word").alias("needle"),
+        "ord",
+        "source",
+        "word",
     )
-    anchor_sizes = [
-        r["size"]
-        for r in substrings.select(
-            F.least(F.char_length("word"), F.lit(ANCHOR_CHARS)).alias("size")
-        )
-        .distinct()
-        .collect()
-    ]
+    phrases = lexicon.filter(F.col("mode") == PHRASE).select(
+        F.substring_index("word", " ", 1).alias("anchor"),
+        F.substring_index("word", " ", 1).alias("head"),
+        F.concat(F.lit(" "), "word", F.lit(" ")).alias("needle"),
+        "ord",
+        "source",
+        "word",
+    )
+    sizes = substrings.select(
+        F.char_length("anchor").alias("anchor"), F.char_length("head").alias("head")
+    )
+    anchor_sizes = sorted(r["anchor"] for r in sizes.select("anchor").distinct().collect())
     if can_broadcast is None:
         can_broadcast = fits_broadcast(lexicon, "word")
 
-    branches = []
-    if anchor_sizes:
-        grams = [
-            F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            for n in sorted(anchor_sizes)
-        ]
-        branches.append(
-            _anchored(
-                df.select(row_id, F.col("normal_text").alias("hay")),
-                F.array_distinct(F.concat(*grams)),
-                substrings.withColumn("anchor", F.substring("word", 1, ANCHOR_CHARS)),
-                row_id,
-                can_broadcast,
-            ).select(row_id, F.lit(0).alias("part"), "ord", "source", "word")
-        )
-    branches.append(
+    token_hits = (
         _anchored(
             df.select(row_id, phrase_form(text).alias("hay")),
             F.array_distinct(F.split(F.btrim("hay"), " ")),
-            phrases.withColumn("anchor", F.substring_index("word", " ", 1)),
+            [F.col("seen")],
+            phrases,
+            F.lit(True),
             row_id,
             can_broadcast,
         )
@@ -164,32 +171,64 @@ def _joined_hits(
         .agg(F.min("ord").alias("ord"))
         .select(row_id, F.lit(1).alias("part"), "ord", "source", F.lit(marker).alias("word"))
     )
-    hits = branches[0]
-    for branch in branches[1:]:
-        hits = hits.unionByName(branch)
-    # a list is no longer than the number of entries its own text contains
+    hits = token_hits
+    if anchor_sizes:
+        width = sizes.agg(F.max("head")).first()[0]
+        windows = F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{1,{width}}}))"), F.lit(1))
+        hits = token_hits.unionByName(
+            _anchored(
+                df.select(row_id, F.col("normal_text").alias("hay")),
+                windows,
+                [F.substring("seen", 1, n) for n in anchor_sizes],
+                substrings,
+                F.char_length("needle") > width,
+                row_id,
+                can_broadcast,
+            ).select(row_id, F.lit(0).alias("part"), "ord", "source", "word")
+        )
+    # a set is no larger than the number of entries its own text contains
     return hits.groupBy(row_id).agg(
-        F.sort_array(F.collect_list(F.struct("part", "ord", "source", "word"))).alias("hits")
+        F.sort_array(F.collect_set(F.struct("part", "ord", "source", "word"))).alias("hits")
     )
 
 
 def _anchored(
-    hay: DataFrame, anchors: Column, lexicon: DataFrame, row_id: str, can_broadcast: bool
+    hay: DataFrame,
+    pieces: Column,
+    anchors: list[Column],
+    entries: DataFrame,
+    unsettled: Column,
+    row_id: str,
+    can_broadcast: bool,
 ) -> DataFrame:
-    entries = lexicon.select("anchor", "needle", "ord", "source", "word")
+    """Entries whose anchor and head begin one of the text's pieces. Where ``unsettled`` the
+    head does not prove the match, and the whole text is searched for the needle."""
+
+    def seen(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("seen", F.explode(pieces))
+        if len(anchors) == 1:
+            return cut.withColumn("key", anchors[0])
+        return cut.withColumn("key", F.explode(F.array_distinct(F.array(*anchors))))
+
+    begins = F.startswith("seen", F.col("head"))
+    proved = ~unsettled | F.contains("hay", F.col("needle"))
     if can_broadcast:
-        return hay.select(row_id, "hay", F.explode(anchors).alias("seen")).join(
-            F.broadcast(entries),
-            on=(F.col("seen") == F.col("anchor")) & F.contains("hay", "needle"),
+        return seen(hay).join(
+            F.broadcast(entries), (F.col("key") == F.col("anchor")) & begins & proved
         )
+    salt = F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int")
     spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     candidates = (
-        hay.select(row_id, F.explode(anchors).alias("anchor"))
-        .withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
-        .join(spread, ["anchor", "salt"])
-        .drop("salt", "anchor")
+        seen(hay)
+        .select(row_id, "key", "seen", salt.alias("own_salt"))
+        .join(
+            spread,
+            (F.col("key") == F.col("anchor")) & (F.col("own_salt") == F.col("salt")) & begins,
+        )
+        .select(row_id, "needle", "ord", "source", "word")
+        .distinct()
     )
-    return candidates.join(hay, row_id).filter(F.contains("hay", "needle"))
+    return candidates.join(hay, row_id).filter(proved)
 
 
 def blocklist_rows(matched: DataFrame, row_id: str = "row_id") -> DataFrame:

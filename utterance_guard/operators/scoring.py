@@ -28,6 +28,7 @@ from utterance_guard.functions.probability import (
 )
 from utterance_guard.functions.text import LABELS, normalize, tokens
 from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
+from utterance_guard.operators.stages import settle
 
 INLINE_TOKENS = 128
 SALTS = 32
@@ -41,13 +42,8 @@ def with_members(
     The arrays get columns of their own: the optimizer does not fold a column into several
     places that use it, so each softmax is computed once.
     """
-    return _with_members(
-        df.withColumn("_logits", F.array(*logits)).withColumn(
-            "_probs", F.transform("_logits", softmax)
-        ),
-        seeds,
-        labels,
-    )
+    held = df.withColumn("_logits", F.array(*logits))
+    return _with_members(settle(held, _probs=F.transform("_logits", softmax)), seeds, labels)
 
 
 def _with_members(df: DataFrame, seeds: list[int], labels: tuple[str, ...]) -> DataFrame:
@@ -83,20 +79,27 @@ class WeightScorer:
     row_id: str = "row_id"
     can_broadcast: bool | None = None
     split = False
-    _wide: DataFrame = field(init=False, repr=False)
-    _few: list | None = field(init=False, repr=False)
+    _few: dict[str, list] | None = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
-        self._wide = self.weights.groupBy("token").agg(
+        usable = self.weights.filter(F.col("member").isin(list(self.bias)))
+        rows = rows_if_few(usable, self.inline_tokens * len(self.bias))
+        self._few = None if rows is None else {}
+        for r in rows or []:
+            sums = self._few.setdefault(r["token"], [0] * len(self.bias))
+            sums[list(self.bias).index(r["member"])] += r["w"]
+
+    def _wide(self) -> DataFrame:
+        """One row per token, one column per member."""
+        zero = F.lit(0).cast(self._sum_type)
+        return self.weights.groupBy("token").agg(
             *[
                 F.coalesce(
-                    F.sum(F.when(F.col("member") == m, F.col("w"))).cast(self._sum_type),
-                    F.lit(0).cast(self._sum_type),
+                    F.sum(F.when(F.col("member") == m, F.col("w"))).cast(self._sum_type), zero
                 ).alias(self._name(m))
                 for m in self.bias
             ]
         )
-        self._few = rows_if_few(self._wide, self.inline_tokens)
 
     @staticmethod
     def _name(member: int) -> str:
@@ -117,7 +120,7 @@ class WeightScorer:
         without a known token has the bias."""
         normal = df.withColumn("_tokens", tokens(F.col(text), self.kind))
         if self._few is not None:
-            known = [r["token"] for r in self._few]
+            known = list(self._few)
             found = F.filter("_tokens", lambda t: t.isin(known))
             return (
                 normal.withColumn("_found", F.transform(found, lambda t: self._table()[t]))
@@ -133,11 +136,8 @@ class WeightScorer:
         return F.create_map(
             *[
                 part
-                for r in self._few
-                for part in (
-                    F.lit(r["token"]),
-                    F.array(*[self._literal(r[self._name(m)]) for m in self.bias]),
-                )
+                for token, sums in self._few.items()
+                for part in (F.lit(token), F.array(*map(self._literal, sums)))
             ]
         )
 
@@ -154,13 +154,14 @@ class WeightScorer:
         names = [self._name(m) for m in self.bias]
         exploded = df.select(self.row_id, F.explode("_tokens").alias("token"))
         small = self.can_broadcast
+        wide = self._wide()
         if small is None:
-            small = fits_broadcast(self._wide, "token")
+            small = fits_broadcast(wide, "token")
         if small:
-            joined = exploded.join(F.broadcast(self._wide), "token")
+            joined = exploded.join(F.broadcast(wide), "token")
         else:
             # a common token may make up much of all rows: salt it over several tasks
-            spread = self._wide.withColumn(
+            spread = wide.withColumn(
                 "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
             )
             joined = exploded.withColumn(
@@ -251,11 +252,12 @@ def _batched(load: Callable[[], Callable[[list[str]], np.ndarray]]):
 def with_ensemble(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Mean of the members' probabilities, then the best class. No vote: two narrow members
     lose against one that is sure."""
-    return (
-        df.withColumn("probabilities", mean_of_arrays(F.col("members.probabilities"), len(labels)))
-        .withColumn("label", label_name(argmax(F.col("probabilities")), labels))
-        .withColumn("confidence", F.array_max("probabilities"))
+    averaged = settle(
+        df, probabilities=mean_of_arrays(F.col("members.probabilities"), len(labels))
     )
+    return averaged.withColumn(
+        "label", label_name(argmax(F.col("probabilities")), labels)
+    ).withColumn("confidence", F.array_max("probabilities"))
 
 
 def ensemble_result(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:

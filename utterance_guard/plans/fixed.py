@@ -17,7 +17,7 @@ SUBSTRINGS = ("trash", "clown", "scum", "idiot", "worth", "worthless")
 PHRASES = ("on scum", "in moron", "the loser", "trash idiot")
 KEYWORDS = ("idiot", "Idiot", "moron", "loser", "Scum")
 
-BIAS = {42: Decimal("-0.4000"), 123: Decimal("-0.3000"), 2024: Decimal("-0.5500")}
+BIAS = {42: Decimal("-1.1000"), 123: Decimal("-0.9500"), 2024: Decimal("-1.3000")}
 
 WEIGHTS = {
     "moron": ("2.4000", "2.1000", "2.6000"),

@@ -274,18 +274,21 @@ def oracle() -> dict[str, str]:
     sql["verdict_summary"] = verdicts + f"""
         SELECT count(*) AS n, count(*) FILTER (label = '{HARASSMENT_LABEL}') AS n_harassment,
             count(*) FILTER (needs_review) AS n_review FROM verdicts"""
-    turns = """turns AS (
-        SELECT conv_id * 1000 + turn AS row_id, conv_id AS speaker_id, text,
-            role <> 'system' AS is_final FROM conversations)"""
-    sql["verdicts_online"] = f"""WITH {turns}, lines AS (
-            SELECT row_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (
-                SELECT row_id, string_split(text, chr(10)) AS l FROM turns)),
-        rows AS (SELECT row_id, line, {STRIP.format("t")} AS text FROM lines),
-        {_scores("rows", "row_id, line")}, {_lexicon("rows", "row_id, line")},
+    lines = f"""parts AS (
+            SELECT doc_id * 2 AS speaker_id, doc_id AS part, text FROM documents
+            UNION ALL
+            SELECT conv_id * 2 + 1, conv_id * 1000 + turn, text FROM conversations),
+        lines AS (
+            SELECT speaker_id, part, unnest(range(len(l))) AS line, unnest(l) AS raw FROM (
+                SELECT speaker_id, part, string_split(text, chr(10)) AS l FROM parts)),
+        rows AS (
+            SELECT speaker_id || '-' || part || '-' || line AS row_id, speaker_id, raw,
+                {STRIP.format("raw")} AS text, ends_with(raw, '.') AS is_final FROM lines)"""
+    sql["verdicts_online"] = f"""WITH {lines}, {_scores("rows")}, {_lexicon("rows")},
         judged AS (
             SELECT *, text = '' AS empty, text <> '' AND (len(words) > 0 OR phrase) AS hit
-            FROM hits JOIN ensemble USING (row_id, line))
-        SELECT row_id, line::INT AS line, NOT empty AND (hit OR p1 > p0) AS is_nondeli,
+            FROM hits JOIN ensemble USING (row_id))
+        SELECT row_id, NOT empty AND (hit OR p1 > p0) AS is_nondeli,
             CASE WHEN NOT empty AND (hit OR p1 > p0) THEN '{HARASSMENT_LABEL}'
                  ELSE '{NONE_LABEL}' END AS label,
             CASE WHEN empty OR hit THEN 1.0 ELSE round(greatest(p0, p1), 6) END AS confidence,
@@ -424,13 +427,12 @@ def oracle() -> dict[str, str]:
             sum(r)::BIGINT AS n_reported
         FROM both_kinds JOIN orders ON o_orderkey = row_id GROUP BY 1"""
 
-    sql["stream_alerts"] = f"""WITH {turns},
-        rows AS (SELECT row_id, speaker_id, text AS raw, {STRIP.format("text")} AS text
-                 FROM turns WHERE is_final),
-        {_scores("rows")}, {_lexicon("rows")}, judged AS (
+    sql["stream_alerts"] = f"""WITH {lines},
+        final AS (SELECT * FROM rows WHERE is_final),
+        {_scores("final")}, {_lexicon("final")}, judged AS (
             SELECT h.*, speaker_id, raw, p0, p1, h.text = '' AS empty,
                 h.text <> '' AND (len(words) > 0 OR phrase) AS hit
-            FROM hits h JOIN ensemble USING (row_id) JOIN rows USING (row_id))
+            FROM hits h JOIN ensemble USING (row_id) JOIN final USING (row_id))
         SELECT row_id, speaker_id, ({hit.replace("text", "raw")}) AS keyword,
             NOT empty AND (hit OR p1 > p0) AS is_nondeli,
             CASE WHEN empty THEN '{EMPTY_REASON}' WHEN hit THEN {REASON}

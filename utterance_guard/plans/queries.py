@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from utterance_guard.functions.probability import label_id, softmax
 from utterance_guard.functions.text import (
-    HARASSMENT_LABEL,
     blocklist_reason,
     keyword_hit,
     normalize,
@@ -23,7 +22,7 @@ from utterance_guard.operators.lexicon import blocklist, blocklist_rows
 from utterance_guard.operators.scoring import WeightScorer, member_rows, score_texts
 from utterance_guard.plans import fixed
 from utterance_guard.session import cut_lineage
-from utterance_guard.sources.files import SUBSTRING, clean_utterances
+from utterance_guard.sources.files import SUBSTRING, clean_utterances, spread_rows
 from utterance_guard.streaming import alerts as speech
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,30 +34,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def documents(spark: SparkSession, folder: str, *more: str | Column) -> DataFrame:
-    """Documents as utterances: ``row_id, text``."""
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "text", *more)
+def documents(
+    spark: SparkSession, folder: str, *more: str | Column, spread: bool = False
+) -> DataFrame:
+    """Documents as utterances: ``row_id, text``. ``spread`` is for queries that work hard on
+    each text."""
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("row_id"), "text", *more
+    )
+    return spread_rows(rows, "row_id") if spread else rows
 
 
-def labelled(spark: SparkSession, folder: str, *more: str | Column) -> DataFrame:
+def labelled(
+    spark: SparkSession, folder: str, *more: str | Column, spread: bool = False
+) -> DataFrame:
     """Documents with their label; null where nobody gave one."""
     labels = table(spark, folder, "labels").select(
         F.col("doc_id").alias("row_id"), F.col("toxic").alias("label")
     )
-    return documents(spark, folder, *more).join(labels, "row_id", "left")
+    return documents(spark, folder, *more, spread=spread).join(labels, "row_id", "left")
 
 
-def only_labelled(spark: SparkSession, folder: str, *more: str | Column) -> DataFrame:
-    return curate.drop_incomplete(labelled(spark, folder, *more))
+def only_labelled(
+    spark: SparkSession, folder: str, *more: str | Column, spread: bool = False
+) -> DataFrame:
+    return curate.drop_incomplete(labelled(spark, folder, *more, spread=spread))
 
 
-def turns(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns as speech. The system's own turns are taken for interim ones."""
-    return table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
-        F.col("conv_id").alias("speaker_id"),
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of every document and conversation turn as speech: ``row_id`` numbers the
+    line, the document or conversation is the speaker. A line without a full stop at its end
+    is taken for an interim transcript."""
+    texts = table(spark, folder, "documents").select(
+        (F.col("doc_id") * 2).alias("speaker_id"), F.col("doc_id").alias("part"), "text"
+    )
+    spoken = table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 2 + 1).alias("speaker_id"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("part"),
+        "text",
+    )
+    cut = spread_rows(texts, "part").unionByName(spread_rows(spoken, "part")).select(
+        "speaker_id", "part", F.posexplode(F.split("text", "\n")).alias("line", "text")
+    )
+    return cut.select(
+        F.concat_ws("-", "speaker_id", "part", "line").alias("row_id"),
+        "speaker_id",
         "text",
-        (F.col("role") != "system").alias("is_final"),
+        F.endswith("text", F.lit(".")).alias("is_final"),
     )
 
 
@@ -68,22 +90,22 @@ def verdicts(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     return fixed.scorer(spark).score(
-        documents(spark, folder).withColumn("text", normalize("text")).select("row_id", "text")
+        documents(spark, folder, spread=True).withColumn("text", normalize("text")).select("row_id", "text")
     )
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with the verdict's class: ``expected_label, predicted``. The
     document's own source is called ``area``, since a verdict has a ``source`` too."""
-    rows = only_labelled(spark, folder, F.col("source").alias("area")).withColumnRenamed(
-        "label", "expected_label"
-    )
+    rows = only_labelled(
+        spark, folder, F.col("source").alias("area"), spread=True
+    ).withColumnRenamed("label", "expected_label")
     return verdicts(spark, rows).withColumn("predicted", label_id(F.col("label")))
 
 
 def member_judgements(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents under each member: ``row_id, seed, expected_label, p1``."""
-    rows = only_labelled(spark, folder).withColumn("text", normalize("text"))
+    rows = only_labelled(spark, folder, spread=True).withColumn("text", normalize("text"))
     members = fixed.scorer(spark).score(rows)
     return members.select("row_id", F.col("label").alias("expected_label"),
                           F.explode("members").alias("m")).select(
@@ -96,7 +118,7 @@ def member_judgements(spark: SparkSession, folder: str) -> DataFrame:
 
 def ensemble_judgements(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents under the ensemble: ``row_id, expected_label, p1``."""
-    rows = only_labelled(spark, folder).withColumnRenamed("label", "expected_label")
+    rows = only_labelled(spark, folder, spread=True).withColumnRenamed("label", "expected_label")
     return score_texts(rows, fixed.scorer(spark)).select(
         "row_id", "expected_label", F.get("probabilities", F.lit(1)).alias("p1")
     )
@@ -131,7 +153,9 @@ def keyword_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = documents(spark, folder).select("row_id", normalize("text").alias("text"))
+    rows = documents(spark, folder, spread=True).select(
+        "row_id", normalize("text").alias("text")
+    )
     toks = rows.select("row_id", tokens("text").alias("tokens"))
     kept = toks.select("row_id", "tokens", truncate_tokens("tokens").alias("kept"))
     return kept.select(
@@ -146,7 +170,7 @@ def token_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocklist_hits(spark: SparkSession, folder: str) -> DataFrame:
-    matched = blocklist(documents(spark, folder), fixed.substring_lexicon(spark))
+    matched = blocklist(documents(spark, folder, spread=True), fixed.substring_lexicon(spark))
     return matched.select(
         "row_id",
         "matched",
@@ -156,7 +180,7 @@ def blocklist_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocklist_two_sources(spark: SparkSession, folder: str) -> DataFrame:
-    matched = blocklist(documents(spark, folder), fixed.two_lexicons(spark))
+    matched = blocklist(documents(spark, folder, spread=True), fixed.two_lexicons(spark))
     return blocklist_rows(matched)
 
 
@@ -173,7 +197,7 @@ def blocklist_hits_large(spark: SparkSession, folder: str) -> DataFrame:
         words.select(F.lit("benchmark").alias("source"), "ord", "word",
                      F.lit(SUBSTRING).alias("mode"))
     )
-    matched = blocklist(documents(spark, folder), lexicon)
+    matched = blocklist(documents(spark, folder, spread=True), lexicon)
     return matched.select(
         "row_id",
         F.size("matched_words").cast("long").alias("n_hits"),
@@ -210,7 +234,7 @@ def naive_bayes_weights(spark: SparkSession, folder: str) -> DataFrame:
 def member_scores_large(spark: SparkSession, folder: str) -> DataFrame:
     weights = cut_lineage(naive_bayes_weights(spark, folder))
     model = WeightScorer(weights, fixed.BIAS)
-    rows = documents(spark, folder).withColumn("text", normalize("text"))
+    rows = documents(spark, folder, spread=True).withColumn("text", normalize("text"))
     members = member_rows(model.score(rows)).select("row_id", "seed", "margin", "p1")
     return rounded(members, "margin", "p1")
 
@@ -218,7 +242,7 @@ def member_scores_large(spark: SparkSession, folder: str) -> DataFrame:
 def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
     """One distribution over the members, which also tests more than two classes."""
     margins = fixed.scorer(spark).margins(
-        documents(spark, folder).withColumn("text", normalize("text"))
+        documents(spark, folder, spread=True).withColumn("text", normalize("text"))
     )
     logits = margins.select("row_id", F.col("margins").cast("array<double>").alias("z"))
     probabilities = logits.select("row_id", softmax(F.col("z")).alias("p"))
@@ -228,7 +252,7 @@ def softmax_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ensemble_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = score_texts(documents(spark, folder), fixed.scorer(spark)).select(
+    rows = score_texts(documents(spark, folder, spread=True), fixed.scorer(spark)).select(
         "row_id",
         F.get("probabilities", F.lit(0)).alias("p0"),
         F.get("probabilities", F.lit(1)).alias("p1"),
@@ -251,30 +275,25 @@ def member_breakdown(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def verdicts_batch(spark: SparkSession, folder: str) -> DataFrame:
-    return verdicts(spark, documents(spark, folder))
-
-
-def _online(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    return moderate(rows, fixed.two_lexicons(spark), fixed.scorer(spark), "online")
+    return verdicts(spark, documents(spark, folder, spread=True))
 
 
 def verdicts_online(spark: SparkSession, folder: str) -> DataFrame:
-    """Every line of every conversation turn, blank ones included."""
-    rows = turns(spark, folder).select(
-        "row_id", F.posexplode(F.split("text", "\n")).alias("line", "text")
-    )
+    """Every line, blank ones included."""
     seeds = F.transform(
         "individual_seeds", lambda s: F.concat_ws(":", s["seed"].cast("string"), s["label"])
     )
-    out = _online(spark, rows).select(
-        "row_id", "line", "is_nondeli", "label", "confidence", "reason",
+    rows = lines(spark, folder).select("row_id", "text")
+    online = moderate(rows, fixed.two_lexicons(spark), fixed.scorer(spark), "online")
+    out = online.select(
+        "row_id", "is_nondeli", "label", "confidence", "reason",
         F.array_join(seeds, ",").alias("seeds"),
     )
     return rounded(out, "confidence")
 
 
 def verdict_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.verdict_summary(verdicts(spark, documents(spark, folder)))
+    return metrics.verdict_summary(verdicts(spark, documents(spark, folder, spread=True)))
 
 
 # curation
@@ -417,7 +436,7 @@ def history_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
     wrong = judged(spark, folder).filter("expected_label != predicted")
-    return review.review_queue(verdicts(spark, documents(spark, folder)), wrong)
+    return review.review_queue(verdicts(spark, documents(spark, folder, spread=True)), wrong)
 
 
 def error_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -438,7 +457,7 @@ def monthly_review(spark: SparkSession, folder: str) -> DataFrame:
     dates = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("ts")
     )
-    flagged = verdicts(spark, documents(spark, folder)).filter("needs_review")
+    flagged = verdicts(spark, documents(spark, folder, spread=True)).filter("needs_review")
     wrong = judged(spark, folder).filter("expected_label != predicted")
     return review.monthly_review(flagged.join(dates, "row_id"), wrong.join(dates, "row_id"))
 
@@ -448,7 +467,7 @@ def monthly_review(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
     out = speech.alerts(
-        turns(spark, folder), fixed.two_lexicons(spark), fixed.scorer(spark), fixed.KEYWORDS
+        lines(spark, folder), fixed.two_lexicons(spark), fixed.scorer(spark), fixed.KEYWORDS
     )
     return out.select("row_id", "speaker_id", "keyword", "is_nondeli", "reason", "alert")
 
@@ -470,7 +489,7 @@ def daily_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     dates = table(spark, folder, "events").select(
         F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("ts")
     )
-    dated = verdicts(spark, documents(spark, folder)).join(dates, "row_id")
+    dated = verdicts(spark, documents(spark, folder, spread=True)).join(dates, "row_id")
     daily = speech.windowed_verdicts(dated)
     return daily.select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "n_harassment", "n_review"

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterance_guard.functions.text import normalize, round4, strip
+from utterance_guard.functions.text import nfkc, normalize, phrase_form, round4, strip
 from utterance_guard.sources.contract import HISTORY, LEXICON, SPEECH, SchemaMismatch, check_schema
 
 SUBSTRING, PHRASE = "substring", "phrase"
@@ -35,12 +35,22 @@ def read_utterances(spark: SparkSession, path: str) -> DataFrame:
     return clean_utterances(lines)
 
 
+def spread_rows(df: DataFrame, row_id: str) -> DataFrame:
+    """Hash a plain scan of fewer splits than cores over all of them by its row id; leave any
+    other as it is. A small file of one row group would else be one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, row_id)
+
+
 def empty_lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEXICON)
 
 
 def lexicon_entries(lines: DataFrame, source: str, mode: str = SUBSTRING) -> DataFrame:
-    """Lexicon from ``ord, value`` rows: strip, skip blank and ``#`` lines, then normalise."""
+    """Lexicon from ``ord, value`` rows: strip, skip blank and ``#`` lines, then normalise.
+    Phrases are cut into tokens as the texts will be."""
     entry = strip("value")
     return (
         lines.select("ord", entry.alias("entry"))
@@ -48,7 +58,9 @@ def lexicon_entries(lines: DataFrame, source: str, mode: str = SUBSTRING) -> Dat
         .select(
             F.lit(source).alias("source"),
             F.col("ord").cast("long").alias("ord"),
-            normalize("entry").alias("word"),
+            (F.btrim(phrase_form(nfkc("entry"))) if mode == PHRASE else normalize("entry")).alias(
+                "word"
+            ),
             F.lit(mode).alias("mode"),
         )
     )
