@@ -7,6 +7,7 @@ A high F1 with them shows that the parts fit together, not that a model is any g
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +45,17 @@ PATTERNS = {
 THRESHOLDS = [i / 20 for i in range(1, 20)]
 
 
+@lru_cache(maxsize=4)
 def substring_lexicon(spark: SparkSession) -> DataFrame:
     return make_lexicon(spark, SUBSTRINGS, "list_a")
 
 
+@lru_cache(maxsize=4)
 def two_lexicons(spark: SparkSession) -> DataFrame:
     return substring_lexicon(spark).unionByName(make_lexicon(spark, PHRASES, "list_b", PHRASE))
 
 
+@lru_cache(maxsize=4)
 def scorer(spark: SparkSession) -> WeightScorer:
     rows = [
         (member, token, Decimal(w))

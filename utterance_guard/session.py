@@ -19,6 +19,8 @@ def local_session(app: str = "utterance-guard", cores: str = "*", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call sites in error messages cost a round trip to the JVM per column function
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
