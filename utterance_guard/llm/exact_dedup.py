@@ -57,7 +57,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge entries of equal key that follow each other, holding one batch and one entry."""
     last: pa.Table | None = None
     for batch in batches:
-        run = pa.Table.from_batches([batch])
+        run = pa.table(batch.columns, names=batch.schema.names)  # all columns nullable
         if last is not None:
             run = pa.concat_tables([last, run])
         if not run.num_rows:
