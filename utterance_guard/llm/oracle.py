@@ -4,6 +4,13 @@ from __future__ import annotations
 
 WHITE = r"[ \t\n\x0B\f\r]+"
 
+# SHA-1 as bare base32: four groups of 40 bits, eight letters each
+BASE32 = """
+    list_aggregate(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+        1 + ((('0x' || hex[10 * (i // 8) + 1 : 10 * (i // 8) + 10])::BIGINT
+              >> (35 - 5 * (i % 8))) & 31)]), 'string_agg', '')
+"""
+
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": rf"""
         WITH t AS (
@@ -14,4 +21,13 @@ ORACLE: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, h AS text_sha256
         FROM t WINDOW w AS (PARTITION BY h)
     """,
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS hex FROM p),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM d)
+        SELECT page_id, n AS payload_bytes, {BASE32} AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
 }
