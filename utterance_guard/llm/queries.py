@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from utterance_guard.llm.common import table
 from utterance_guard.llm.exact_dedup import exact_dedup
+from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +33,8 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return taken_words(mix_sources(table(spark, folder, "documents")))
