@@ -30,4 +30,39 @@ ORACLE: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f
     """,
+    "op10_url_filter": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+        s AS (
+            SELECT page_id,
+                   translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+            FROM u
+        ),
+        rules (verdict, domain, start) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+                   ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'),
+                   ('block', 'com', '/de/')
+        ),
+        pairs AS (SELECT DISTINCT host, path FROM s),
+        fits AS (
+            SELECT host, path, arg_max(domain || start, length(domain || start)) AS rule,
+                   arg_max(verdict, length(domain || start)) AS verdict
+            FROM pairs JOIN rules
+              ON (host = domain OR suffix(host, '.' || domain)) AND starts_with(path, start)
+            GROUP BY host, path
+        ),
+        listed AS (
+            SELECT DISTINCT host AS blocked FROM s
+            WHERE regexp_matches(host, '(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)')
+        ),
+        hits AS (
+            SELECT DISTINCT host FROM (SELECT DISTINCT host FROM s) JOIN listed
+              ON host = blocked OR suffix(host, '.' || blocked)
+        )
+        SELECT page_id, s.host, s.path, rule,
+               coalesce(verdict, CASE WHEN hits.host IS NULL THEN 'allow' ELSE 'block' END)
+                   AS verdict
+        FROM s LEFT JOIN fits USING (host, path) LEFT JOIN hits ON s.host = hits.host
+    """,
 }

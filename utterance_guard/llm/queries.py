@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from utterance_guard.llm.common import table
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
+from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
 from utterance_guard.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +39,9 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return taken_words(mix_sources(table(spark, folder, "documents")))
+
+
+@query
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return filter_urls(pages, build_index(unwanted_hosts(pages))).drop("listed")
