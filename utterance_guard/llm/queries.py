@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from utterance_guard.llm.common import table
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
+from utterance_guard.llm.secrets import find_secrets
 from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
 from utterance_guard.llm.warc import round_trip
 
@@ -45,3 +46,8 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return filter_urls(pages, build_index(unwanted_hosts(pages))).drop("listed")
+
+
+@query
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return find_secrets(table(spark, folder, "documents"))
