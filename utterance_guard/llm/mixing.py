@@ -274,9 +274,10 @@ def mix_sources(
         )
     )
     slots = slot_table(spark, sources, shard_slots, seed, parts)
+    # the drawn rows are few, the slots they unfold to grow with the corpus: no broadcast
     shift = F.col("block") * b - F.col("offset")
     pieces = (
-        blocks.join(slots, ["index", "block"])
+        blocks.join(slots.hint("merge"), ["index", "block"])
         .withColumn("right", F.least("right", "words"))
         .filter("right > left")
         .select(
