@@ -11,6 +11,7 @@ from utterance_guard.llm.common import table
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.secrets import find_secrets
+from utterance_guard.llm.simhash import hex_print, near_groups
 from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
 from utterance_guard.llm.warc import round_trip
 
@@ -51,3 +52,10 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents")).select(
+        "doc_id", hex_print().alias("fingerprint"), "component_id"
+    )
