@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from utterance_guard.llm.common import table
+from utterance_guard.llm.decontaminate import find_leaks
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.secrets import find_secrets
@@ -59,3 +60,8 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents")).select(
         "doc_id", hex_print().alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
