@@ -11,6 +11,7 @@ from utterance_guard.llm.common import table
 from utterance_guard.llm.decontaminate import find_leaks
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
+from utterance_guard.llm.quality import classify
 from utterance_guard.llm.secrets import find_secrets
 from utterance_guard.llm.simhash import hex_print, near_groups
 from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
@@ -65,3 +66,8 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
