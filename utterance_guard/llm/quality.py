@@ -10,7 +10,7 @@ scorer decides: a document is kept if its probability of being bad is below one
 Votes are counted over all documents; what EM works on is the number of documents per vote
 pattern, of which there are at most 3^11. The word list of the abuse labellers comes from up to
 ``LABELLED_ROWS`` labelled rows: words that occur in many toxic ones and hardly anywhere else,
-dealt by hash to three labellers. The scorer is fitted on the ``TRAINING_ROWS`` or so documents
+dealt in turn to three labellers. The scorer is fitted on the ``TRAINING_ROWS`` or so documents
 whose ids hash lowest. Both bounds are parameters; neither limits what is scored.
 
 Defined results: a text without words is bad, null is such a text. Rows are judged one by one,
@@ -63,6 +63,8 @@ MEASURES = (
 )
 ABUSE = 3
 LEAST_WORDS = 10
+#: Good and bad documents that are assumed before any is seen.
+EXPECTED = (9, 1)
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -111,8 +113,9 @@ def bare_word(word: bytes) -> bytes:
 
 
 def abuse_votes(present: set[bytes], lexicon: dict[bytes, int]) -> list[int]:
-    """One vote per labeller: bad if one of its words occurs, good if not."""
-    votes = [GOOD if lexicon else ABSTAIN] * ABUSE
+    """One vote per labeller that has words: bad if one of them occurs, good if not."""
+    dealt = set(lexicon.values())
+    votes = [GOOD if i in dealt else ABSTAIN for i in range(ABUSE)]
     for word in present & lexicon.keys():
         votes[lexicon[word]] = BAD
     return votes
@@ -158,7 +161,7 @@ class LatentClass:
     it abstains says nothing. ``fit`` is EM over vote patterns and their counts."""
 
     def __init__(self, labellers: int):
-        self.prior = np.array([0.8, 0.2])
+        self.prior = np.array(EXPECTED) / sum(EXPECTED)
         self.chance = np.ones((2, labellers, 3)) * [1, 0.5, 0.5]
 
     def fit(self, patterns: list[list[int]], counts: list[int], rounds: int = 200) -> LatentClass:
@@ -169,7 +172,7 @@ class LatentClass:
         bad = np.where((votes == BAD).any(1), 0.9, 0.05)
         for _ in range(rounds):
             share = np.stack((1 - bad, bad)) * count
-            self.prior = (share.sum(1) + 1) / (count.sum() + 2)
+            self.prior = (share.sum(1) + EXPECTED) / (count.sum() + sum(EXPECTED))
             given = np.stack([share @ (votes == a) for a in (GOOD, BAD)], axis=2) + 0.1
             self.chance[:, :, GOOD:] = given / given.sum(2, keepdims=True)
             new = self.posterior(votes)
@@ -301,10 +304,9 @@ def lexicon_of(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) ->
         & (F.col("t") >= TOXIC_SHARE * total["t"])
         & (F.col("t") >= TOXIC_PRECISION * F.col("n"))
     )
-    return {
-        bytes(r["word"]): xxhash.xxh32_intdigest(bytes(r["word"])) % ABUSE
-        for r in telling.collect()
-    }
+    # the commonest words go to different labellers
+    words = sorted(((-r["t"], bytes(r["word"])) for r in telling.collect()))
+    return {word: i % ABUSE for i, (_, word) in enumerate(words)}
 
 
 @dataclass
