@@ -14,6 +14,7 @@ from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.quality import classify
 from utterance_guard.llm.secrets import find_secrets
 from utterance_guard.llm.simhash import hex_print, near_groups
+from utterance_guard.llm.suffix_tree import fit, score_texts
 from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
 from utterance_guard.llm.warc import round_trip
 
@@ -71,3 +72,9 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return score_texts(docs, fit(docs))
