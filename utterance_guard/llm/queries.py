@@ -12,6 +12,7 @@ from utterance_guard.llm.decontaminate import find_leaks
 from utterance_guard.llm.exact_dedup import exact_dedup
 from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.quality import classify
+from utterance_guard.llm.repeats import remove_repeats
 from utterance_guard.llm.secrets import find_secrets
 from utterance_guard.llm.simhash import hex_print, near_groups
 from utterance_guard.llm.suffix_tree import fit, score_texts
@@ -78,3 +79,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return score_texts(docs, fit(docs))
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"))
