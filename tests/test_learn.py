@@ -8,7 +8,7 @@ from utterance_guard.operators.metrics import binary_metrics
 from utterance_guard.operators.scoring import ModelScorer, score_texts
 from utterance_guard.sources import files
 
-SETTINGS = learn.Settings(min_docs=1.0)
+SETTINGS = learn.Settings()
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,7 @@ def models(labelled):
 
 @pytest.mark.parametrize("inline", [0, 10_000])
 def test_exported_weights_score_like_the_models(labelled, models, inline):
-    exported = learn.export_weights(models, inline_tokens=inline)
+    exported = learn.export_weights(models, learn.with_tokens(labelled), inline_tokens=inline)
     p1 = F.get("probabilities", F.lit(1)).alias("p")
     a = score_texts(labelled, ModelScorer(models)).select("row_id", p1)
     b = score_texts(labelled, exported).select("row_id", p1.alias("q"))
@@ -49,7 +49,7 @@ def test_models_survive_saving(spark, labelled, models, tmp_path):
 
 
 def test_selection_stops_and_keeps_the_first_best(labelled):
-    candidates = [learn.Settings(decay=d, rounds=10, min_docs=1.0) for d in (0.01, 0.02, 0.03, 0.04)]
+    candidates = [learn.Settings(decay=d, rounds=10) for d in (0.01, 0.02, 0.03, 0.04)]
     _, best, scores = learn.select_best(
         learn.clean_labelled(labelled), labelled, 42, candidates, patience=2
     )

@@ -104,7 +104,7 @@ def tokens(text: Column | str, kind: str = "word") -> Column:
         return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     if kind == "bigram":
         packed = F.regexp_replace(text, r"\s+", "")
-        pairs = F.regexp_extract_all(packed, F.lit(r"(?s)(?=(..))"), F.lit(1))
+        pairs = F.regexp_extract_all(packed, F.lit(r"(?s)(?=(..))."), F.lit(1))
         return F.when(F.char_length(packed) == 1, F.array(packed)).otherwise(pairs)
     raise ValueError(f"unknown kind of token: {kind}")
 

@@ -20,6 +20,7 @@ from utterance_guard.operators.scoring import individual, with_ensemble
 
 MODEL_SOURCE = "model_ensemble"
 EMPTY_REASON = "empty_input"
+CALLER = "_caller"
 VERDICT_COLUMNS = {
     "batch": {"label", "confidence", "needs_review", "source"},
     "online": {"is_nondeli", "label", "confidence", "reason", "individual_seeds"},
@@ -29,23 +30,14 @@ VERDICT_COLUMNS = {
 def _judged(
     df: DataFrame, lexicon: DataFrame, scorer, row_id: str, inline_limit: int
 ) -> DataFrame:
-    """Screen every row, score those that nothing settled, and keep all of them.
-
-    The row-local scorers get a blank text where the verdict stands already: one pass over
-    the input and hardly any work for such rows. A scorer that is dear per row (``split``)
-    sees only the open rows, at the price of reading the input once more.
-    """
-    screened = blocklist(df, lexicon, "text", row_id, inline_limit=inline_limit).withColumn(
-        "settled", F.col("matched") | F.col("empty")
+    """Screen every row, score those that nothing settled, and keep all of them, in one pass
+    over the input: where the verdict stands already, the scorer gets a null for the text."""
+    screened = blocklist(df, lexicon, "text", row_id, inline_limit=inline_limit)
+    open_ = ~(F.col("matched") | F.col("empty"))
+    masked = screened.withColumn(
+        "model_text", F.when(open_, F.coalesce("normal_text", F.lit("")))
     )
-    if not scorer.split:
-        masked = screened.withColumn(
-            "model_text", F.when(F.col("settled"), F.lit("")).otherwise(F.col("normal_text"))
-        )
-        return with_ensemble(scorer.score(masked, "model_text"))
-    settled = screened.filter("settled")
-    scored = with_ensemble(scorer.score(screened.filter("NOT settled"), "normal_text"))
-    return scored.unionByName(settled, allowMissingColumns=True)
+    return with_ensemble(scorer.score(masked, "model_text"))
 
 
 def moderate(
@@ -68,9 +60,13 @@ def moderate(
     if mode not in VERDICT_COLUMNS:
         raise ValueError(f"unknown mode: {mode}")
     kept = df.columns
-    taken = VERDICT_COLUMNS[mode].intersection(kept)
+    taken = (VERDICT_COLUMNS[mode] | {CALLER}).intersection(kept)
     if taken:
         raise ValueError(f"rename before moderating: {', '.join(sorted(taken))}")
+    # the caller's columns travel in one, out of the way of those made here
+    others = [c for c in kept if c not in (row_id, "text")]
+    df = df.select(row_id, "text", *([F.struct(*others).alias(CALLER)] if others else []))
+    kept = [F.col(c) if c in (row_id, "text") else F.col(CALLER)[c].alias(c) for c in kept]
     if mode == "online":
         df = df.withColumn("text", strip(F.coalesce("text", F.lit(""))))
         df = df.withColumn("empty", F.col("text") == "")

@@ -20,10 +20,13 @@ from utterance_guard.functions.text import (
     strip_punctuation,
     text_key,
 )
+from utterance_guard.session import cut_lineage
 from utterance_guard.sources.contract import LABELLED, check_schema
 
+# The reason given for augmented rows, and the share held for evaluation.
 AUGMENT_REASON = "punctuation_stripped_augmentation"
 EVAL_PERCENT = 15
+
 TRAIN, EVAL = "train", "eval"
 
 
@@ -109,14 +112,16 @@ def augment(df: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Copies without punctuation, as speech recognition would write them.
 
     No copy where nothing changes or the text exists already; of equal copies the first one
-    stays, with its label.
+    stays, with its label. A copy's ``row_id`` is ``-1 - origin_id``: unique among copies, and
+    apart from ids that are not negative.
     """
     stripped = df.withColumn("_bare", strip_punctuation("text")).filter("_bare != text")
     bare = stripped.select(row_id, F.col("_bare").alias("text"), "label")
     # equal copies all exist or all do not, so dropping the repeats first changes nothing and
     # keeps a frequent text from crowding one task of the anti join
     return without_known(dedupe_first(bare, row_id), df).select(
-        row_id,
+        (-1 - F.col(row_id)).alias(row_id),
+        F.col(row_id).alias("origin_id"),
         "text",
         "label",
         F.lit(1.0).alias("confidence"),
@@ -153,9 +158,10 @@ def split_exact(
 
     The cut is found without sorting a label. A histogram over the first ``prefix`` hex
     digits (65,536 bins, all alike in size, since row ids are unique) shows the bin where the
-    cut falls, and only that bin is ranked. The last step is a join with one row per label.
+    cut falls, and only that bin is ranked. The cuts, one row per label, are broadcast; the
+    rows themselves are read once and never shuffled.
     """
-    keyed = df.withColumn("_hash", seeded_hash(seed, row_id))
+    keyed = cut_lineage(df.withColumn("_hash", seeded_hash(seed, row_id)))
     bins = (
         keyed.select("label", F.substring("_hash", 1, prefix).alias("bin"))
         .groupBy("label", "bin")
@@ -171,12 +177,12 @@ def split_exact(
     )
     ranked = (
         keyed.select("label", "_hash", F.substring("_hash", 1, prefix).alias("bin"))
-        .join(cut_bin, ["label", "bin"])
+        .join(F.broadcast(cut_bin), ["label", "bin"])
         .withColumn("rank", F.row_number().over(by_label.orderBy("_hash")))
     )
     cut = ranked.filter("rank = need").select("label", F.col("_hash").alias("cut"))
     return (
-        keyed.join(cut, "label", "left")
+        keyed.join(F.broadcast(cut), "label", "left")
         .withColumn("side", F.when(F.col("_hash") <= F.col("cut"), EVAL).otherwise(TRAIN))
         .drop("_hash", "cut")
         .select(*df.columns, "side")

@@ -1,18 +1,21 @@
 """Training, selection and evaluation of the classifier with Spark ML.
 
-Each fit is distributed. The driver loops over seeds and candidates only, and holds a
-vocabulary of at most ``vocab_size`` tokens.
+Each fit is distributed and uses every training row and every token: tokens are hashed into a
+fixed number of features, so no vocabulary is cut or held anywhere. The driver loops over seeds
+and candidates only.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -20,8 +23,15 @@ from utterance_guard.functions.probability import label_id
 from utterance_guard.functions.text import normalize, seeded_hash, tokens
 from utterance_guard.operators.curate import EVAL, EVAL_PERCENT, TRAIN, clean_labelled, split_hash
 from utterance_guard.operators.metrics import METRICS, binary_metrics, class_weights
-from utterance_guard.operators.scoring import ModelScorer, WeightScorer, score_texts
+from utterance_guard.operators.scoring import (
+    ModelScorer,
+    WeightScorer,
+    member_rows,
+    score_members,
+    score_texts,
+)
 from utterance_guard.session import cut_lineage
+from utterance_guard.sources.files import append_history, history_row
 
 # The seeds of the ensemble, in their order.
 SEEDS = (42, 123, 2024)
@@ -29,14 +39,15 @@ SEEDS = (42, 123, 2024)
 
 @dataclass(frozen=True)
 class Settings:
-    """``decay`` and ``rounds`` are what selection varies; the rest describes the features."""
+    """``decay`` and ``rounds`` are what selection varies; the rest describes the features.
+    ``resample`` draws each seed's rows with replacement; without it a seed uses them all."""
 
     decay: float = 0.01
     rounds: int = 20
     kind: str = "word"
-    vocab_size: int = 1 << 16
-    min_docs: float = 0.01
+    features: int = 1 << 18
     balanced: bool = True
+    resample: bool = False
 
 
 CANDIDATES = tuple(
@@ -53,38 +64,37 @@ def with_tokens(df: DataFrame, kind: str = "word") -> DataFrame:
     )
 
 
-def bootstrap_weight(seed: int, row_id: str = "row_id", most: int = 6) -> Column:
+def bootstrap_weight(seed: int, row_id: str = "row_id") -> Column:
     """How often a seed's resample holds a row: Poisson with mean 1, by a hash of the row, so
-    that a lost task comes back with the same weights."""
+    that a lost task comes back with the same weights. The draw has 32 bits; the chances are
+    summed until none of its values lies beyond."""
     draw = F.conv(F.substring(seeded_hash(seed, row_id), 17, 8), 16, 10).cast("double") / 2**32
-    cumulative, term = [], 0.36787944117144233
-    for k in range(most):
-        cumulative.append((cumulative[-1] if cumulative else 0.0) + term)
-        term /= k + 1
+    cumulative, total, term, k = [], 0.0, 0.36787944117144233, 0
+    while total <= 1 - 2.0**-32:
+        total, k = total + term, k + 1
+        term /= k
+        cumulative.append(total)
     return F.size(F.filter(F.array(*map(F.lit, cumulative)), lambda c: draw >= c)).cast("double")
 
 
-def training_rows(tokenised: DataFrame, seed: int, settings: Settings) -> DataFrame:
-    """Training rows with their weight: class weight times resample weight."""
+def training_rows(df: DataFrame, seed: int, settings: Settings = Settings()) -> DataFrame:
+    """Training rows with their ``weight``: the class's, times the resample's where the
+    settings ask for one. Without a resample every row stays."""
     by_class = {
-        r["label"]: r["weight"]
-        for r in class_weights(tokenised, balanced=settings.balanced).collect()
+        r["label"]: r["weight"] for r in class_weights(df, balanced=settings.balanced).collect()
     }
-    class_weight = F.when(F.col("label") == 1, by_class[1] or 0.0).otherwise(by_class[0] or 0.0)
-    return tokenised.withColumn("weight", class_weight * bootstrap_weight(seed)).filter(
-        "weight > 0"
-    )
+    weight = F.when(F.col("label") == 1, by_class[1] or 0.0).otherwise(by_class[0] or 0.0)
+    if not settings.resample:
+        return df.withColumn("weight", weight)
+    return df.withColumn("weight", weight * bootstrap_weight(seed)).filter("weight > 0")
 
 
 def fit(tokenised: DataFrame, seed: int, settings: Settings = Settings()) -> PipelineModel:
     """Fit one member on rows with ``row_id, label, tokens``."""
     rows = training_rows(tokenised, seed, settings)
     stages = [
-        CountVectorizer(
-            inputCol="tokens",
-            outputCol=f"counts_{seed}",
-            vocabSize=settings.vocab_size,
-            minDF=settings.min_docs,
+        HashingTF(
+            inputCol="tokens", outputCol=f"counts_{seed}", numFeatures=settings.features
         ),
         IDF(inputCol=f"counts_{seed}", outputCol=f"features_{seed}"),
         LogisticRegression(
@@ -127,9 +137,9 @@ def train_and_evaluate(
     eval_percent: float = EVAL_PERCENT,
 ) -> tuple[PipelineModel, DataFrame]:
     """Clean, split by seed, fit on one side and measure on the other."""
-    sides = cut_lineage(split_hash(clean_labelled(labelled), seed, eval_percent))
-    train = with_tokens(sides.filter(F.col("side") == TRAIN), settings.kind)
-    model = fit(train, seed, settings)
+    sides = split_hash(clean_labelled(labelled), seed, eval_percent)
+    sides = cut_lineage(with_tokens(sides, settings.kind))
+    model = fit(sides.filter(F.col("side") == TRAIN), seed, settings)
     metrics = evaluate({seed: model}, sides.filter(F.col("side") == EVAL), kind=settings.kind)
     return model, metrics.select(F.lit(seed).alias("seed"), *METRICS)
 
@@ -172,30 +182,57 @@ def multi_seed(
     settings: Settings = Settings(),
 ) -> tuple[dict[int, PipelineModel], DataFrame]:
     """One model per seed, all measured on the same fixed set: the models, and a row of
-    metrics per seed. The cleaned and tokenised set is written once for all fits."""
+    metrics per seed. The cleaned and tokenised set is written once for all fits, and the fixed
+    set is read and scored once for all models."""
     ready = cut_lineage(with_tokens(clean_labelled(labelled), settings.kind))
     models = {}
-    rows = None
     for seed in seeds:
         train = split_hash(ready, seed).filter(F.col("side") == TRAIN)
         models[seed] = fit(train, seed, settings)
-        metrics = evaluate({seed: models[seed]}, evaluation, kind=settings.kind).select(
-            F.lit(seed).alias("seed"), *METRICS
-        )
-        rows = metrics if rows is None else rows.unionByName(metrics)
-    return models, rows
+    held = evaluation.select("row_id", "text", F.col("label").alias("_expected"))
+    rows = member_rows(
+        score_members(held, ModelScorer(models, settings.kind)), "row_id", "_expected"
+    ).withColumn("predicted", label_id(F.col("label")))
+    metrics = binary_metrics(rows, "_expected", "predicted", by=("seed",))
+    return models, metrics.select("seed", *METRICS)
 
 
-def export_weights(models: dict[int, PipelineModel], kind: str = "word", **options) -> WeightScorer:
-    """The fitted models as a table of token weights (coefficient times inverse document
-    frequency). It has at most ``vocab_size`` rows per member."""
-    rows, bias = [], {}
+def evaluate_and_record(
+    models: dict[int, PipelineModel],
+    evaluation: DataFrame,
+    path: str,
+    at: dt.datetime,
+    train_rows: DataFrame | None = None,
+    official: bool = True,
+    kind: str = "word",
+) -> DataFrame:
+    """Measure on any labelled set (``expected_label``) and append a row to the history if the
+    set is the official one; returns that row."""
+    row = history_row(evaluate(models, evaluation, "expected_label", kind), train_rows, at)
+    row = cut_lineage(row)
+    append_history(row, path, official)
+    return row
+
+
+def export_weights(
+    models: dict[int, PipelineModel], tokenised: DataFrame, kind: str = "word", **options
+) -> WeightScorer:
+    """The fitted models as a table ``member, token, w`` of all distinct tokens of ``tokenised``
+    (column ``tokens``). A token weighs what the model adds for a text of that token alone, so
+    tokens that share a hashed feature share its weight. The table is written, not collected."""
+    alone = tokenised.select(F.explode("tokens").alias("token")).distinct()
+    alone = alone.select("token", F.array("token").alias("tokens"))
+    bias = {seed: float(model.stages[-1].intercept) for seed, model in models.items()}
+    weights = []
     for seed, model in models.items():
-        vocabulary, idf, regression = model.stages
-        values = regression.coefficients.toArray() * idf.idf.toArray()
-        rows += [
-            (seed, token, float(w)) for token, w in zip(vocabulary.vocabulary, values) if w
-        ]
-        bias[seed] = float(regression.intercept)
-    table = SparkSession.active().createDataFrame(rows, "member INT, token STRING, w DOUBLE")
+        alone = model.transform(alone)
+        raw = vector_to_array(model.stages[-1].getRawPredictionCol())
+        weights.append(
+            F.struct(
+                F.lit(seed).alias("member"),
+                "token",
+                (F.get(raw, F.lit(1)) - F.lit(bias[seed])).alias("w"),
+            )
+        )
+    table = cut_lineage(alone.select(F.inline(F.array(*weights))))
     return WeightScorer(table, bias, kind=kind, **options)

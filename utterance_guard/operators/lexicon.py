@@ -4,12 +4,11 @@ Two plans give the same hits.
 
 * A lexicon of up to ``INLINE_LIMIT`` entries becomes part of the projection: each text is
   tested against each word, in place, with no join and no shuffle.
-* A larger one is joined. The text is cut into windows, one per position; a window meets the
-  words that begin with the same few characters, its anchor, and a prefix test settles the
-  match, so the text itself is not searched again. Phrases are anchored on their first token.
-  Only hits are shuffled. The lexicon is broadcast while its counted size allows. Past that it
-  is shuffled, with both sides salted, because one anchor may occur in a large part of all
-  texts.
+* A larger one is joined on anchors, the first few characters of a word. A text's distinct
+  pieces of that length meet the words that begin so, and those words are sought in the text.
+  Phrases are anchored on their first token. The lexicon is broadcast while its measured size
+  allows, and only hits are shuffled then. Past that row ids and pieces are shuffled and meet
+  the lexicon with both sides salted, because one anchor may occur in a large part of all texts.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from utterance_guard.sources.files import PHRASE, SUBSTRING
 
 INLINE_LIMIT = 128
 ANCHOR_CHARS = 4
-WINDOW_CHARS = 32
-SALTS = 32
 PHRASE_MARKER = "[phrase]"
 
 HITS = T.ArrayType(
@@ -61,7 +58,7 @@ def blocklist(
     prepared = df.withColumn("normal_text", normalize(text))
     if few is None:
         if df.isStreaming:
-            raise ValueError(f"a stream takes up to {inline_limit} lexicon entries")
+            raise ValueError("a large lexicon needs alert_stream, which works batch by batch")
         hits = _joined_hits(prepared, usable, text, row_id, marker, can_broadcast)
         found = prepared.join(hits, row_id, "left").withColumn(
             "hits", F.coalesce("hits", F.array().cast(HITS))
@@ -133,102 +130,93 @@ def _joined_hits(
     marker: str,
     can_broadcast: bool | None,
 ) -> DataFrame:
-    """``row_id, hits`` for the rows with a hit."""
-    substrings = lexicon.filter(F.col("mode") == SUBSTRING).select(
-        F.substring("word", 1, ANCHOR_CHARS).alias("anchor"),
-        F.substring("word", 1, WINDOW_CHARS).alias("head"),
+    """``row_id, hits`` for the rows with a hit. Equal entries are one row with a count here,
+    and as many hits in the end."""
+    entries = lexicon.groupBy("mode", "ord", "source", "word").agg(F.count("*").alias("times"))
+    substrings = entries.filter(F.col("mode") == SUBSTRING).select(
+        F.substring("word", 1, ANCHOR_CHARS).alias("key"),
         F.col("word").alias("needle"),
         "ord",
         "source",
-        "word",
+        "times",
     )
-    phrases = lexicon.filter(F.col("mode") == PHRASE).select(
-        F.substring_index("word", " ", 1).alias("anchor"),
-        F.substring_index("word", " ", 1).alias("head"),
+    phrases = entries.filter(F.col("mode") == PHRASE).select(
+        F.substring_index("word", " ", 1).alias("key"),
         F.concat(F.lit(" "), "word", F.lit(" ")).alias("needle"),
         "ord",
         "source",
-        "word",
+        "times",
     )
-    sizes = substrings.select(
-        F.char_length("anchor").alias("anchor"), F.char_length("head").alias("head")
-    )
-    anchor_sizes = sorted(r["anchor"] for r in sizes.select("anchor").distinct().collect())
-    if can_broadcast is None:
-        can_broadcast = fits_broadcast(lexicon, "word")
-
-    token_hits = (
-        _anchored(
-            df.select(row_id, phrase_form(text).alias("hay")),
-            F.array_distinct(F.split(F.btrim("hay"), " ")),
-            [F.col("seen")],
-            phrases,
-            F.lit(True),
-            row_id,
-            can_broadcast,
+    sizes = substrings.select(F.char_length("key").alias("n")).distinct().collect()
+    hits = None
+    if sizes:
+        # one code point at a time, so that no character is cut in two
+        grams = [
+            F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{{r['n']}}}))."), F.lit(1))
+            for r in sorted(sizes)
+        ]
+        pieces = F.array_distinct(F.concat(*grams))
+        hay = df.select(row_id, F.col("normal_text").alias("hay"))
+        hits = _anchored(hay, pieces, substrings, row_id, can_broadcast).select(
+            row_id, F.lit(0).alias("part"), "ord", "source", F.col("needle").alias("word"), "times"
         )
-        .groupBy(row_id, "source")
-        .agg(F.min("ord").alias("ord"))
-        .select(row_id, F.lit(1).alias("part"), "ord", "source", F.lit(marker).alias("word"))
-    )
-    hits = token_hits
-    if anchor_sizes:
-        width = sizes.agg(F.max("head")).first()[0]
-        windows = F.regexp_extract_all("hay", F.lit(f"(?s)(?=(.{{1,{width}}}))"), F.lit(1))
-        hits = token_hits.unionByName(
-            _anchored(
-                df.select(row_id, F.col("normal_text").alias("hay")),
-                windows,
-                [F.substring("seen", 1, n) for n in anchor_sizes],
-                substrings,
-                F.char_length("needle") > width,
+    if not phrases.isEmpty():
+        hay = df.select(row_id, phrase_form(text).alias("hay"))
+        pieces = F.array_distinct(F.split(F.btrim("hay"), " "))
+        once = (
+            _anchored(hay, pieces, phrases, row_id, can_broadcast)
+            .groupBy(row_id, "source")
+            .agg(F.min("ord").alias("ord"))
+            .select(
                 row_id,
-                can_broadcast,
-            ).select(row_id, F.lit(0).alias("part"), "ord", "source", "word")
+                F.lit(1).alias("part"),
+                "ord",
+                "source",
+                F.lit(marker).alias("word"),
+                F.lit(1).cast("long").alias("times"),
+            )
+        )
+        hits = once if hits is None else hits.unionByName(once)
+    if hits is None:
+        return df.select(row_id, F.array().cast(HITS).alias("hits")).limit(0)
+    # a list is no longer than the number of entries its own text contains
+    found = F.sort_array(F.collect_list(F.struct("part", "ord", "source", "word", "times")))
+
+    def repeated(e: Column) -> Column:
+        return F.array_repeat(
+            F.struct(e["part"], e["ord"], e["source"], e["word"]), e["times"].cast("int")
         )
-    # a set is no larger than the number of entries its own text contains
+
     return hits.groupBy(row_id).agg(
-        F.sort_array(F.collect_set(F.struct("part", "ord", "source", "word"))).alias("hits")
+        F.flatten(F.transform(found, repeated)).cast(HITS).alias("hits")
     )
 
 
 def _anchored(
     hay: DataFrame,
     pieces: Column,
-    anchors: list[Column],
     entries: DataFrame,
-    unsettled: Column,
     row_id: str,
-    can_broadcast: bool,
+    can_broadcast: bool | None,
 ) -> DataFrame:
-    """Entries whose anchor and head begin one of the text's pieces. Where ``unsettled`` the
-    head does not prove the match, and the whole text is searched for the needle."""
-
-    def seen(df: DataFrame) -> DataFrame:
-        cut = df.withColumn("seen", F.explode(pieces))
-        if len(anchors) == 1:
-            return cut.withColumn("key", anchors[0])
-        return cut.withColumn("key", F.explode(F.array_distinct(F.array(*anchors))))
-
-    begins = F.startswith("seen", F.col("head"))
-    proved = ~unsettled | F.contains("hay", F.col("needle"))
+    """Entries that a text contains: those whose key is among its distinct pieces are sought
+    in it. A row per text and entry."""
+    if can_broadcast is None:
+        can_broadcast = fits_broadcast(entries)
+    in_text = F.contains("hay", F.col("needle"))
     if can_broadcast:
-        return seen(hay).join(
-            F.broadcast(entries), (F.col("key") == F.col("anchor")) & begins & proved
-        )
-    salt = F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int")
-    spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        seen = hay.withColumn("key", F.explode(pieces))
+        return seen.join(F.broadcast(entries), "key").filter(in_text)
+    # a common key may occur in a large part of all texts: salt it over the session's tasks
+    salts = int(hay.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
+    spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     candidates = (
-        seen(hay)
-        .select(row_id, "key", "seen", salt.alias("own_salt"))
-        .join(
-            spread,
-            (F.col("key") == F.col("anchor")) & (F.col("own_salt") == F.col("salt")) & begins,
-        )
-        .select(row_id, "needle", "ord", "source", "word")
-        .distinct()
+        hay.select(row_id, salt.alias("salt"), F.explode(pieces).alias("key"))
+        .join(spread, ["key", "salt"])
+        .drop("key", "salt")
     )
-    return candidates.join(hay, row_id).filter(proved)
+    return candidates.join(hay, row_id).filter(in_text)
 
 
 def blocklist_rows(matched: DataFrame, row_id: str = "row_id") -> DataFrame:

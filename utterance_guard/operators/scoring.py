@@ -7,6 +7,7 @@ table of token weights, fitted Spark ML models, and any outside model.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
@@ -31,7 +32,6 @@ from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
 from utterance_guard.operators.stages import settle
 
 INLINE_TOKENS = 128
-SALTS = 32
 
 
 def with_members(
@@ -78,7 +78,6 @@ class WeightScorer:
     inline_tokens: int = INLINE_TOKENS
     row_id: str = "row_id"
     can_broadcast: bool | None = None
-    split = False
     _few: dict[str, list] | None = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
@@ -156,16 +155,17 @@ class WeightScorer:
         small = self.can_broadcast
         wide = self._wide()
         if small is None:
-            small = fits_broadcast(wide, "token")
+            small = fits_broadcast(wide)
         if small:
             joined = exploded.join(F.broadcast(wide), "token")
         else:
             # a common token may make up much of all rows: salt it over several tasks
+            salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             spread = wide.withColumn(
-                "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+                "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
             )
             joined = exploded.withColumn(
-                "salt", F.pmod(F.xxhash64(self.row_id), F.lit(SALTS)).cast("int")
+                "salt", F.pmod(F.xxhash64(self.row_id), F.lit(salts)).cast("int")
             ).join(spread, ["token", "salt"])
         sums = joined.groupBy(self.row_id).agg(*[F.sum(n).alias(n) for n in names])
         return (
@@ -202,11 +202,12 @@ class ModelScorer:
     models: dict[int, PipelineModel]
     kind: str = "word"
     labels: tuple[str, ...] = LABELS
-    split = False
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        kept = df.columns
-        scored = df.withColumn("tokens", tokens(F.col(text), self.kind))
+        # the models have column names of their own: the caller's stay out of their way
+        scored = df.select(
+            F.struct(*df.columns).alias("_row"), tokens(F.col(text), self.kind).alias("tokens")
+        )
         logits, probabilities = [], []
         for model in self.models.values():
             scored = model.transform(scored)
@@ -214,36 +215,49 @@ class ModelScorer:
             logits.append(vector_to_array(last.getRawPredictionCol()))
             probabilities.append(vector_to_array(last.getProbabilityCol()))
         scored = scored.select(
-            *kept, F.array(*logits).alias("_logits"), F.array(*probabilities).alias("_probs")
+            "_row.*", F.array(*logits).alias("_logits"), F.array(*probabilities).alias("_probs")
         )
         return _with_members(scored, list(self.models), self.labels)
 
 
 @dataclass
 class OutsideScorer:
-    """Any model behind Python functions, one per seed. Each ``load`` runs once per task and
-    returns a function from a list of texts to an array of logits, one row per text. Rows
-    that the lexicon settles are kept away from it by a split, not masked."""
+    """Any model behind Python functions, one per seed. Each ``load`` runs once per worker and
+    returns a function from a list of texts to an array of logits, one row per text. Null
+    texts, which the lexicon has settled, are not shown to it and get logits of zero."""
 
     loaders: dict[int, Callable[[], Callable[[list[str]], np.ndarray]]]
     labels: tuple[str, ...] = LABELS
-    split = True
+    scorer_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         names = []
         for seed, load in self.loaders.items():
             names.append(f"_logits_{seed}")
-            df = df.withColumn(names[-1], _batched(load)(F.coalesce(text, F.lit(""))))
+            made = _batched(load, (self.scorer_id, seed), len(self.labels))
+            df = df.withColumn(names[-1], made(F.col(text)))
         logits = [F.col(n) for n in names]
         return with_members(df, logits, list(self.loaders), self.labels).drop(*names)
 
 
-def _batched(load: Callable[[], Callable[[list[str]], np.ndarray]]):
+# Models that this worker process has loaded, by scorer and seed.
+_LOADED: dict[tuple[str, int], Callable[[list[str]], np.ndarray]] = {}
+
+
+def loaded(key: tuple[str, int], load: Callable) -> Callable[[list[str]], np.ndarray]:
+    if key not in _LOADED:
+        _LOADED[key] = load()
+    return _LOADED[key]
+
+
+def _batched(load: Callable, key: tuple[str, int], classes: int):
     @F.pandas_udf("array<double>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
         for batch in batches:
-            rows = np.asarray(model(batch.tolist()), dtype="float64")
+            open_ = batch.notna().to_numpy()
+            rows = np.zeros((len(batch), classes))
+            if open_.any():
+                rows[open_] = loaded(key, load)(batch[open_].tolist())
             yield pd.Series(list(rows))
 
     return logits
@@ -280,10 +294,12 @@ def individual(members: Column) -> Column:
     )
 
 
-def member_rows(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """One row per text and member: ``row_id, seed, margin, p0, p1, label, confidence``."""
-    return df.select(row_id, F.explode("members").alias("m")).select(
+def member_rows(df: DataFrame, row_id: str = "row_id", *more: str) -> DataFrame:
+    """One row per text and member: ``row_id, seed, margin, p0, p1, label, confidence``, and
+    what ``more`` names."""
+    return df.select(row_id, *more, F.explode("members").alias("m")).select(
         row_id,
+        *more,
         F.col("m.seed").alias("seed"),
         (F.get("m.logits", F.lit(1)) - F.get("m.logits", F.lit(0))).alias("margin"),
         F.get("m.probabilities", F.lit(0)).alias("p0"),
@@ -308,5 +324,10 @@ def ensemble_of_rows(scores: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 def score_texts(df: DataFrame, scorer, text: str = "text") -> DataFrame:
     """Normalise, score and average: adds ``members, probabilities, label, confidence``."""
-    normal = df.withColumn("normal_text", normalize(F.coalesce(F.col(text), F.lit(""))))
-    return with_ensemble(scorer.score(normal, "normal_text")).drop("normal_text")
+    return with_ensemble(score_members(df, scorer, text))
+
+
+def score_members(df: DataFrame, scorer, text: str = "text") -> DataFrame:
+    """Normalise and score: adds ``members``."""
+    normal = df.withColumn("_normal_text", normalize(F.coalesce(F.col(text), F.lit(""))))
+    return scorer.score(normal, "_normal_text").drop("_normal_text")

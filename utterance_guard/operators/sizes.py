@@ -17,16 +17,21 @@ def rows_if_few(df: DataFrame, limit: int) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+# What a number, or the header of a string, takes in a row.
+CELL_BYTES = 8
+
+
 def fits_broadcast(
-    df: DataFrame, text: str, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Count rows and text bytes, reading no more than ``max_rows + 1`` rows."""
-    size = (
-        df.limit(max_rows + 1)
-        .agg(
-            F.count("*").alias("n"),
-            F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b"),
-        )
-        .first()
-    )
+    """Measure all columns of ``df``, as it would be broadcast: an aggregation with one row
+    per task."""
+    widths = [
+        F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(0)
+        for c, t in df.dtypes
+    ]
+    row = sum(widths, F.lit(CELL_BYTES * len(df.columns)))
+    size = df.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(row.cast("long")), F.lit(0)).alias("b")
+    ).first()
     return size["n"] <= max_rows and size["b"] <= max_bytes

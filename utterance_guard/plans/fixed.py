@@ -34,6 +34,17 @@ WEIGHTS = {
     "der": ("-0.0090", "-0.0130", "-0.0070"),
 }
 
+# pairs of characters, for the models of unspaced scripts
+PAIRS = {
+    "an": ("0.0110", "0.0090", "0.0120"),
+    "th": ("-0.0100", "-0.0080", "-0.0130"),
+    "e,": ("0.0200", "0.0150", "0.0170"),
+    "ci": ("0.0050", "0.0060", "0.0040"),
+    "ón": ("-0.0210", "-0.0180", "-0.0200"),
+    "ör": ("0.0310", "0.0280", "0.0330"),
+    "!!": ("0.4000", "0.3500", "0.4200"),
+}
+
 PATTERNS = {
     "ends_with_stop": r"\.\s*$",
     "question": r"\?",
@@ -57,10 +68,19 @@ def two_lexicons(spark: SparkSession) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def scorer(spark: SparkSession) -> WeightScorer:
+    return _scorer(spark, WEIGHTS, "word")
+
+
+@lru_cache(maxsize=4)
+def bigram_scorer(spark: SparkSession) -> WeightScorer:
+    return _scorer(spark, PAIRS, "bigram")
+
+
+def _scorer(spark: SparkSession, weights: dict, kind: str) -> WeightScorer:
     rows = [
         (member, token, Decimal(w))
-        for token, ws in WEIGHTS.items()
+        for token, ws in weights.items()
         for member, w in zip(BIAS, ws, strict=True)
     ]
     table = spark.createDataFrame(rows, "member INT, token STRING, w DECIMAL(18,4)")
-    return WeightScorer(table, BIAS)
+    return WeightScorer(table, BIAS, kind=kind)

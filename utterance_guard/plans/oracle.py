@@ -66,9 +66,20 @@ CONFUSION = """
     count(*) FILTER (expected_label = 0 AND predicted = 0) AS tn"""
 
 
-def _scores(source: str, columns: str = "row_id") -> str:
+WORD_LIST = "regexp_extract_all(lower(text), '\\p{L}+')"
+
+# pairs of neighbouring characters, white space left out
+PAIR_LIST = """list_transform(range(1, greatest(len(chars), 1)),
+    lambda i: chars[i] || chars[i + 1])"""
+CHARS = "regexp_extract_all(regexp_replace(lower(text), '\\s+', '', 'g'), '(?s).')"
+PAIRS = f"CASE WHEN len(chars) = 1 THEN chars ELSE {PAIR_LIST} END"
+
+
+def _scores(
+    source: str, columns: str = "row_id", known: dict = fixed.WEIGHTS, toks: str = WORD_LIST
+) -> str:
     """CTEs ``members`` and ``ensemble`` over ``source(row_id, text)``."""
-    weights = _values((f"'{t}'", *w) for t, w in fixed.WEIGHTS.items())
+    weights = _values((f"'{t}'", *w) for t, w in known.items())
     sums = ", ".join(
         f"coalesce(sum(w{m}::DECIMAL(18,4)), 0) + {b} AS z{m}" for m, b in fixed.BIAS.items()
     )
@@ -80,7 +91,7 @@ def _scores(source: str, columns: str = "row_id") -> str:
     using = columns
     return f"""weights AS (SELECT * FROM (VALUES {weights}) AS v(token, {names})),
     toks AS (
-        SELECT {columns}, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token
+        SELECT {columns}, unnest({toks}) AS token
         FROM {source}),
     sums AS (
         SELECT {columns}, {", ".join(f"sum(w{m}::DECIMAL(18,4)) AS w{m}" for m in MEMBERS)}
@@ -177,7 +188,7 @@ def _loose(text: str) -> str:
 WORDS = """words AS (
         SELECT word, min(item_id) AS ord FROM (
             SELECT item_id, unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word
-            FROM benchmark) WHERE length(word) >= 6 GROUP BY word)"""
+            FROM benchmark) GROUP BY word)"""
 
 
 def _naive_bayes() -> str:
@@ -304,8 +315,8 @@ def oracle() -> dict[str, str]:
             (SELECT count(DISTINCT text) FROM labelled_only) AS n_distinct,
             (SELECT count(*) - count(DISTINCT text) FROM labelled_only) AS n_removed
         FROM labelled"""
-    sql["label_counts"] = f"""WITH {ONLY}
-        SELECT label, count(*) AS n FROM labelled_only GROUP BY label"""
+    sql["label_counts"] = f"""WITH {CLEAN}
+        SELECT label, count(*) AS n FROM clean GROUP BY label"""
     sql["top_duplicates"] = """
         SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1
         ORDER BY n DESC, text LIMIT 10"""
@@ -314,11 +325,12 @@ def oracle() -> dict[str, str]:
         SELECT doc_id AS row_id, text FROM documents
         QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1"""
     sql["augment_rows"] = f"""WITH {ONLY}, {_augmented("labelled_only")}
-        SELECT row_id, text, label, 1.0::DOUBLE AS confidence, '{AUGMENT_REASON}' AS reason,
+        SELECT -1 - row_id AS row_id, row_id AS origin_id, text, label,
+            1.0::DOUBLE AS confidence, '{AUGMENT_REASON}' AS reason,
             false AS needs_review FROM augmented"""
     sql["training_union"] = f"""WITH {CLEAN}, {_augmented("clean")}
         SELECT row_id, text, label FROM clean
-        UNION ALL SELECT row_id, text, label FROM augmented"""
+        UNION ALL SELECT -1 - row_id, text, label FROM augmented"""
     sql["split_hash"] = f"SELECT doc_id AS row_id, {_side(42, 15)} AS side FROM documents"
     sql["split_exact"] = f"""WITH {CLEAN}
         SELECT row_id, label, CASE WHEN
@@ -337,10 +349,23 @@ def oracle() -> dict[str, str]:
             AND NOT {_side(202401, 15)} = '{EVAL}')
         SELECT * FROM drawn WHERE row_id IN (SELECT min(row_id) FROM drawn GROUP BY text)"""
 
-    sql["class_weights"] = f"""WITH {ONLY}
+    train = f"{CLEAN}, train AS (SELECT * FROM clean WHERE {_side(42, 15)} = '{TRAIN}')"
+    sql["class_weights"] = f"""WITH {train}
         SELECT label, count(*) AS n,
-            round((SELECT count(*) FROM labelled_only) / (2.0 * count(*)), 6)::DOUBLE AS weight
-        FROM labelled_only GROUP BY label"""
+            round((SELECT count(*) FROM train) / (2.0 * count(*)), 6)::DOUBLE AS weight
+        FROM train GROUP BY label"""
+    sql["training_rows"] = f"""WITH {train}
+        SELECT row_id, label, '{TRAIN}' AS side, round((SELECT count(*) FROM train)
+            / (2.0 * count(*) OVER (PARTITION BY label)), 6)::DOUBLE AS weight
+        FROM train"""
+    sql["export_gap"] = "SELECT doc_id AS row_id FROM documents WHERE false"
+    cut = f"docs AS (SELECT doc_id AS row_id, text, {CHARS} AS chars FROM documents)"
+    sql["tokens_bigram"] = f"""WITH {cut}
+        SELECT row_id, len({PAIRS})::BIGINT AS n_tokens,
+            md5(array_to_string({PAIRS}, '|')) AS tokens_md5 FROM docs"""
+    sql["member_scores_bigram"] = f"""WITH {cut},
+        {_scores("docs", known=fixed.PAIRS, toks=PAIRS)}
+        SELECT row_id, seed, round(margin, 6) AS margin, round(p1, 6) AS p1 FROM members"""
     sql["weighted_logloss"] = f"""WITH {ENSEMBLE_JUDGED}, weights_by_class AS (
             SELECT expected_label,
                 ((SELECT count(*) FROM judged) / (2.0 * count(*)))::DOUBLE AS weight
@@ -425,7 +450,7 @@ def oracle() -> dict[str, str]:
             SELECT row_id, 0, 1 FROM judged WHERE expected_label <> predicted)
         SELECT strftime(o_orderdate, '%Y-%m') AS month, sum(f)::BIGINT AS n_flagged,
             sum(r)::BIGINT AS n_reported
-        FROM both_kinds JOIN orders ON o_orderkey = row_id GROUP BY 1"""
+        FROM both_kinds LEFT JOIN orders ON o_orderkey = row_id GROUP BY 1"""
 
     sql["stream_alerts"] = f"""WITH {lines},
         final AS (SELECT * FROM rows WHERE is_final),

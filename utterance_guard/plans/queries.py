@@ -19,7 +19,13 @@ from utterance_guard.functions.text import (
 from utterance_guard.operators import curate, learn, metrics, review
 from utterance_guard.operators.cascade import moderate
 from utterance_guard.operators.lexicon import blocklist, blocklist_rows
-from utterance_guard.operators.scoring import WeightScorer, member_rows, score_texts
+from utterance_guard.operators.scoring import (
+    ModelScorer,
+    WeightScorer,
+    member_rows,
+    score_members,
+    score_texts,
+)
 from utterance_guard.plans import fixed
 from utterance_guard.session import cut_lineage
 from utterance_guard.sources.files import SUBSTRING, clean_utterances, spread_rows
@@ -55,6 +61,15 @@ def labelled(
     return documents(spark, folder, *more, spread=spread).join(labels, "row_id", "left")
 
 
+def labelled_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents judged once, written: with ``expected_label`` (null where nobody gave
+    one) and ``predicted``."""
+    rows = labelled(spark, folder, spread=True).withColumnRenamed("label", "expected_label")
+    return cut_lineage(
+        verdicts(spark, rows).withColumn("predicted", label_id(F.col("label")))
+    )
+
+
 def only_labelled(
     spark: SparkSession, folder: str, *more: str | Column, spread: bool = False
 ) -> DataFrame:
@@ -185,11 +200,10 @@ def blocklist_two_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocklist_hits_large(spark: SparkSession, folder: str) -> DataFrame:
-    """A lexicon of some hundred words and more: all longer words of the benchmark texts."""
+    """A lexicon of some hundred words and more: all words of the benchmark texts."""
     items = table(spark, folder, "benchmark")
     words = (
         items.select("item_id", F.explode(tokens(normalize("text"))).alias("word"))
-        .filter(F.char_length("word") >= 6)
         .groupBy("word")
         .agg(F.min("item_id").alias("ord"))
     )
@@ -216,17 +230,29 @@ def member_scores(spark: SparkSession, folder: str) -> DataFrame:
 def naive_bayes_weights(spark: SparkSession, folder: str) -> DataFrame:
     """Log odds of each token per member, from the member's own training side."""
     rows = curate.clean_labelled(labelled(spark, folder))
-    sides = None
+    sides = {}
     for member in fixed.BIAS:
-        side = curate.split_hash(rows, member).filter(F.col("side") == curate.TRAIN)
-        side = side.select(F.lit(member).alias("member"), "label", "text")
-        sides = side if sides is None else sides.unionByName(side)
-    counts = (
-        sides.withColumn("normal", normalize("text"))
-        .select("member", "label", F.explode(F.array_distinct(tokens("normal"))).alias("token"))
-        .groupBy("member", "token")
-        .agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    )
+        rows = curate.split_hash(rows, member).withColumnRenamed("side", f"side_{member}")
+        sides[member] = F.col(f"side_{member}") == curate.TRAIN
+    words = rows.withColumn("normal", normalize("text")).select(
+        "label",
+        *[sides[m].alias(f"in_{m}") for m in sides],
+        F.explode(F.array_distinct(tokens("normal"))).alias("token"),
+    )
+    # one pass over the tokens, one pair of sums per member
+    sums = words.groupBy("token").agg(
+        *[F.sum(F.when(F.col(f"in_{m}"), F.col("label"))).alias(f"toxic_{m}") for m in sides],
+        *[F.count_if(f"in_{m}").alias(f"n_{m}") for m in sides],
+    )
+    each = [
+        F.struct(
+            F.lit(m).alias("member"),
+            F.col(f"toxic_{m}").alias("toxic"),
+            F.col(f"n_{m}").alias("n"),
+        )
+        for m in sides
+    ]
+    counts = sums.select("token", F.inline(F.array(*each))).filter("n > 0")
     odds = F.ln((F.col("toxic") + 1.0) / (F.col("n") - F.col("toxic") + 1.0))
     return counts.select("member", "token", F.round(odds, 4).cast("decimal(18,4)").alias("w"))
 
@@ -304,7 +330,7 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return curate.label_counts(only_labelled(spark, folder))
+    return curate.label_counts(curate.clean_labelled(labelled(spark, folder)))
 
 
 def top_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -364,7 +390,10 @@ def fresh_holdout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def class_weights(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(metrics.class_weights(only_labelled(spark, folder)), "weight")
+    """Of the training side."""
+    rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
+    train = rows.filter(F.col("side") == curate.TRAIN)
+    return rounded(metrics.class_weights(train), "weight")
 
 
 def weighted_logloss(spark: SparkSession, folder: str) -> DataFrame:
@@ -388,22 +417,21 @@ def threshold_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(swept, *metrics.METRICS)
 
 
-def _seed_metrics(spark: SparkSession, folder: str, threshold: float = 0.5) -> DataFrame:
-    rows = member_judgements(spark, folder).withColumn(
-        "predicted", (F.col("p1") > threshold).cast("int")
-    )
+def _seed_metrics(judgements: DataFrame, threshold: float = 0.5) -> DataFrame:
+    rows = judgements.withColumn("predicted", (F.col("p1") > threshold).cast("int"))
     return metrics.binary_metrics(rows, by=("seed",))
 
 
 def seed_summary(spark: SparkSession, folder: str) -> DataFrame:
-    summary = metrics.seed_summary(_seed_metrics(spark, folder))
+    summary = metrics.seed_summary(_seed_metrics(member_judgements(spark, folder)))
     return rounded(summary, "mean", "std", "min", "max")
 
 
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Two settings of the decision threshold as two experiments."""
+    judgements = cut_lineage(member_judgements(spark, folder))
     compared = metrics.compare_runs(
-        _seed_metrics(spark, folder), _seed_metrics(spark, folder, threshold=0.6)
+        _seed_metrics(judgements), _seed_metrics(judgements, threshold=0.6)
     )
     return rounded(compared, *[c for c, t in compared.dtypes if t == "double"])
 
@@ -435,8 +463,8 @@ def history_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, folder: str) -> DataFrame:
-    wrong = judged(spark, folder).filter("expected_label != predicted")
-    return review.review_queue(verdicts(spark, documents(spark, folder, spread=True)), wrong)
+    rows = labelled_verdicts(spark, folder)
+    return review.review_queue(rows, rows.filter("expected_label != predicted"))
 
 
 def error_patterns(spark: SparkSession, folder: str) -> DataFrame:
@@ -445,7 +473,8 @@ def error_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def suspect_words(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(review.suspect_words(judged(spark, folder)), "share", "overall")
+    rows = cut_lineage(judged(spark, folder))
+    return rounded(review.suspect_words(rows), "share", "overall")
 
 
 def error_by_area(spark: SparkSession, folder: str) -> DataFrame:
@@ -453,13 +482,14 @@ def error_by_area(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_review(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents dated by the order of the same number."""
+    """Documents dated by the order of the same number; those without one have no month."""
     dates = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderdate").alias("ts")
     )
-    flagged = verdicts(spark, documents(spark, folder, spread=True)).filter("needs_review")
-    wrong = judged(spark, folder).filter("expected_label != predicted")
-    return review.monthly_review(flagged.join(dates, "row_id"), wrong.join(dates, "row_id"))
+    rows = labelled_verdicts(spark, folder).join(dates, "row_id", "left")
+    return review.monthly_review(
+        rows.filter("needs_review"), rows.filter("expected_label != predicted")
+    )
 
 
 # streams, in batch form
@@ -513,6 +543,47 @@ def multi_seed(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(result, *metrics.METRICS)
 
 
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row that a seed's training uses, with the weight it has there."""
+    rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
+    train = cut_lineage(rows.filter(F.col("side") == curate.TRAIN))
+    out = learn.training_rows(train, SEED).select("row_id", "label", "side", "weight")
+    return rounded(out, "weight")
+
+
+def export_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents on which a fitted model and its exported weights differ."""
+    rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
+    train = cut_lineage(learn.with_tokens(rows.filter(F.col("side") == curate.TRAIN)))
+    models = {SEED: learn.fit(train, SEED, learn.Settings(rounds=5))}
+    docs = cut_lineage(learn.with_tokens(documents(spark, folder, spread=True)))
+    exported = learn.export_weights(models, docs)
+    own = member_rows(score_members(docs.drop("tokens"), ModelScorer(models)))
+    other = member_rows(score_members(docs.drop("tokens"), exported))
+    both = own.select("row_id", "p1").join(
+        other.select("row_id", F.col("p1").alias("exported")), "row_id", "full"
+    )
+    gap = F.coalesce(F.abs(F.col("p1") - F.col("exported")), F.lit(1.0))
+    return both.filter(gap > 1e-9).select("row_id")
+
+
+def tokens_bigram(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder, spread=True).select("row_id", normalize("text").alias("t"))
+    toks = rows.select("row_id", tokens("t", "bigram").alias("tokens"))
+    return toks.select(
+        "row_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.md5(F.array_join("tokens", "|")).alias("tokens_md5"),
+    )
+
+
+def member_scores_bigram(spark: SparkSession, folder: str) -> DataFrame:
+    """The scoring of unspaced scripts: weights of character pairs."""
+    rows = documents(spark, folder, spread=True).withColumn("text", normalize("text"))
+    scored_rows = member_rows(fixed.bigram_scorer(spark).score(rows))
+    return rounded(scored_rows.select("row_id", "seed", "margin", "p1"), "margin", "p1")
+
+
 QUERIES: tuple[Query, ...] = (
     utterances_clean, text_normalized, punctuation_free, keyword_alerts, token_truncate,
     blocklist_hits, blocklist_two_sources, blocklist_hits_large,
@@ -524,7 +595,7 @@ QUERIES: tuple[Query, ...] = (
     run_comparison, best_candidate, history_trend,
     review_queue, error_patterns, suspect_words, error_by_area, monthly_review,
     stream_alerts, alert_episodes, daily_verdicts,
-    train_eval, multi_seed,
+    train_eval, multi_seed, training_rows, export_gap, tokens_bigram, member_scores_bigram,
 )
 
 

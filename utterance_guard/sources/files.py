@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -137,7 +138,10 @@ def read_eval(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
     return raw.select(
         F.monotonically_increasing_id().alias("row_id"),
         F.col("text"),
-        _strict_int(strip("expected_label"), "expected_label").alias("expected_label"),
+        F.coalesce(
+            _strict_int(strip("expected_label"), "expected_label"),
+            F.raise_error(F.lit("expected_label is empty")).cast("int"),
+        ).alias("expected_label"),
     )
 
 
@@ -157,6 +161,23 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def history_row(
+    metrics: DataFrame, train_rows: DataFrame | None, at: dt.datetime
+) -> DataFrame:
+    """A history row from one row of ``binary_metrics``. ``train_rows`` is the training set as
+    it is now; None where its file is absent gives a null size."""
+    size = None if train_rows is None else train_rows.count()
+    return metrics.select(
+        F.lit(at).cast("timestamp").alias("timestamp"),
+        F.lit(size).cast("long").alias("train_data_size"),
+        F.col("n").cast("long").alias("n_eval_samples"),
+        "accuracy",
+        "precision",
+        "recall",
+        "f1",
+    )
+
+
 def append_history(metrics: DataFrame, path: str, official: bool = True) -> bool:
     """Append a metrics row to the history, rounded to four digits, for the official set only.
     Returns whether anything was written."""

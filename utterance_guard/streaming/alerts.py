@@ -22,9 +22,10 @@ def final_utterances(df: DataFrame) -> DataFrame:
 
 
 def with_alert(df: DataFrame) -> DataFrame:
-    """Keyword hit or verdict. The two checks are independent: a missing verdict (null)
-    leaves the keyword check in force."""
-    return df.withColumn("alert", F.col("keyword") | F.coalesce("is_nondeli", F.lit(False)))
+    """Keyword hit or verdict. The two checks are independent: where one has no answer (null),
+    the other stays in force."""
+    no = F.lit(False)
+    return df.withColumn("alert", F.coalesce("keyword", no) | F.coalesce("is_nondeli", no))
 
 
 def alerts(
@@ -113,6 +114,30 @@ def windowed_verdicts(
     )
 
 
+def alert_stream(
+    utterances: DataFrame,
+    lexicon: DataFrame,
+    scorer,
+    path: str,
+    checkpoint: str,
+    words: list[str] | tuple[str, ...] = KEYWORDS,
+    row_id: str = "row_id",
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Alerts of a stream, written to Parquet, with a lexicon and a vocabulary of any size: each
+    micro-batch goes through the batch operator. A batch has a folder of its own, named by its
+    id and overwritten when the batch is repeated, so the output holds every row once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = alerts(batch, lexicon, scorer, words, row_id)
+        out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = utterances.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
 def write_stream(
     df: DataFrame, path: str, checkpoint: str, mode: str = "append", available_now: bool = False
 ) -> StreamingQuery:
