@@ -231,10 +231,28 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[t
         yield bucket, (row for _, row in own)
 
 
+class ByPlace:
+    """Entries on their way to the places of their documents, packed once there are many."""
+
+    def __init__(self, names: tuple[str, ...], places: int, kind: int):
+        self.names, self.places, self.kind, self.held, self.n = names, places, kind, [], 0
+
+    def add(self, entries: Entries) -> None:
+        self.held.append({n: entries[n] for n in self.names})
+        self.n += len(entries["doc"])
+
+    def ready(self, least: int) -> Iterator[tuple[int, int, bytes]]:
+        if self.n > least:
+            entries = join_entries(self.held, self.names)
+            self.held, self.n = [], 0
+            yield from by_place(entries, self.names, self.places, self.kind)
+
+
 def ranker(places: int) -> Callable:
     """Entries of all tasks to ranges that are removed, and stretches that need sorting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone, asked = ByPlace(RANGE, places, RANGES), ByPlace(ASKED, places, ENTRIES)
         for bucket, rows in grouped(batches):
             held, out = [], []
             for row in rows:
@@ -243,7 +261,7 @@ def ranker(places: int) -> Callable:
                 else:
                     held.append(unpack(row["packed"], tuple(COLUMNS))[0])
             repeated, own = rank_names(join_entries(held, tuple(COLUMNS)))
-            out += by_place(repeated, RANGE, places, RANGES)
+            gone.add(repeated)
             sample, name, doc = own["sample"], own["name"], own["doc"]
             if len(sample):
                 new = np.concatenate(([True], sample[1:] != sample[:-1]))
@@ -251,9 +269,9 @@ def ranker(places: int) -> Callable:
                 first = np.flatnonzero(new)
                 differ = np.logical_or.reduceat(name != name[first][group], first)
                 several = np.logical_or.reduceat(doc != doc[first][group], first)
-                open_ = taken(own, (differ & several)[group])
-                out += by_place(open_, ASKED, places, ENTRIES)
-            yield as_batch(out)
+                asked.add(taken(own, (differ & several)[group]))
+            yield as_batch([*out, *gone.ready(FLUSH), *asked.ready(FLUSH)])
+        yield as_batch([*gone.ready(0), *asked.ready(0)])
 
     return run
 
@@ -369,6 +387,7 @@ def sort_suffixes(own: Entries, text: bytes) -> Entries:
 
 def sorter(places: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = ByPlace(RANGE, places, RANGES)
         for _, rows in grouped(batches):
             parts, texts = [], []
             for row in rows:
@@ -392,8 +411,9 @@ def sorter(places: int) -> Callable:
             lead = load[np.flatnonzero(last)][batch_of] if len(order) else load
             for part in np.split(order, np.flatnonzero(np.diff(lead)) + 1) if len(order) else []:
                 pieces = [text[source[i] : source[i] + length[i]] for i in part.tolist()]
-                found = sort_suffixes(taken(own, part), np.concatenate(pieces).tobytes())
-                yield as_batch(list(by_place(found, RANGE, places, RANGES)))
+                gone.add(sort_suffixes(taken(own, part), np.concatenate(pieces).tobytes()))
+                yield as_batch(list(gone.ready(FLUSH)))
+        yield as_batch(list(gone.ready(0)))
 
     return run
 
