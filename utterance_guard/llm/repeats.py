@@ -46,7 +46,8 @@ SIDE = (DEPTH + GRAM) // 2
 CHUNK_BITS = 20
 CHUNK = (1 << CHUNK_BITS) - DEPTH
 NAME_BITS = 48
-FLUSH = 2_000_000
+#: Entries a task holds before it ranks and packs them.
+FLUSH = 400_000
 SORTED_AT_ONCE = 200_000
 LAST_ID = np.iinfo(np.int64).max
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -324,7 +325,7 @@ def cutter(bits: int) -> Callable:
             )
             tails += [p[3] for p in pieces]
             n += count
-            if n > FLUSH // 4:
+            if n > FLUSH:
                 yield part()
                 held, tails, n = [], [], 0
         if held:
