@@ -106,3 +106,11 @@ def test_packing():
     entries["doc"][:2] = (-5, repeats.LAST_ID)
     back, tail = unpack(pack(entries, tuple(COLUMNS), b"tail"), tuple(COLUMNS))
     assert tail == b"tail" and all((back[n] == entries[n]).all() for n in COLUMNS)
+
+
+def test_buckets_are_even():
+    rng = random.Random(6)
+    own, _ = stretches("".join(rng.choices("abcdefgh ", k=400_000)).encode())
+    bucket = own["sample"] >> np.uint64(repeats.NAME_BITS - 4)
+    counts = np.bincount(bucket.astype(int), minlength=16)
+    assert counts.max() < 1.2 * counts.mean()

@@ -130,9 +130,13 @@ def stretches(data: bytes) -> tuple[Entries, list[int]]:
         at = (least & np.uint64((1 << CHUNK_BITS) - 1)).astype(np.int64)
         begin = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
         size = np.diff(np.append(begin, len(at)))
+        # the least of many hashes has small first digits: mix again before it names a bucket
+        sample = gram[at[begin]] * M1
+        sample ^= sample >> np.uint64(32)
+        sample *= M2
         parts.append(
             {
-                "sample": gram[at[begin]] >> TO_NAME,
+                "sample": sample >> TO_NAME,
                 "begin": (begin + start).astype(np.uint32),
                 "size": size.astype(np.uint8),
                 "at": (at[begin] - begin).astype(np.uint8),
