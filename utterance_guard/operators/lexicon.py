@@ -26,7 +26,7 @@ from utterance_guard.operators.stages import settle
 from utterance_guard.sources.files import PHRASE, SUBSTRING
 
 INLINE_LIMIT = 128
-ANCHOR_CHARS = 4
+ANCHOR_CHARS = 6
 PHRASE_MARKER = "[phrase]"
 
 HITS = T.ArrayType(
