@@ -5,17 +5,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from utterance_guard.llm.common import table
 from utterance_guard.llm.decontaminate import find_leaks
 from utterance_guard.llm.exact_dedup import exact_dedup
+from utterance_guard.llm.lexical import build_index as build_lexical_index
+from utterance_guard.llm.lexical import search
+from utterance_guard.llm.middle import digests_of
 from utterance_guard.llm.mixing import mix_sources, taken_words
 from utterance_guard.llm.quality import classify
 from utterance_guard.llm.repeats import remove_repeats
 from utterance_guard.llm.secrets import find_secrets
 from utterance_guard.llm.simhash import hex_print, near_groups
 from utterance_guard.llm.suffix_tree import fit, score_texts
+from utterance_guard.llm.token_counts import TokenizerFile, count_tokens, fresh_cache
 from utterance_guard.llm.url_filter import build_index, filter_urls, unwanted_hosts
 from utterance_guard.llm.warc import round_trip
 
@@ -84,3 +89,20 @@ def op2_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return digests_of(table(spark, folder, "documents"))
+
+
+@query
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = TokenizerFile.read(public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(table(spark, folder, "documents"), tokenizer, fresh_cache(spark))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = build_lexical_index(table(spark, folder, "documents"))
+    return search(index, table(spark, folder, "benchmark"))
