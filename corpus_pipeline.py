@@ -2,6 +2,10 @@
 
 Each stage gets what the one before kept and returns it with the columns of documents; the last
 says how many words the mix takes of each document that is left.
+
+Each stage takes nulls in any column, empty and very long texts, ties, repeated rows and empty
+tables as its operator's module says, and passes on further columns as they are: a null text is
+an empty one, a null doc_id comes after all others, and rows that are equal stay or go together.
 """
 
 from __future__ import annotations
@@ -14,8 +18,8 @@ from utterance_guard.llm.common import table, written
 from utterance_guard.llm.decontaminate import without_leaks
 from utterance_guard.llm.exact_dedup import keep_first
 from utterance_guard.llm.mixing import mix_sources, taken_words
-from utterance_guard.llm.near_copies import keep_smallest
 from utterance_guard.llm.quality import keep_good
+from utterance_guard.llm.simhash import keep_smallest
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -31,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies (0.8 or more on five words) stays."""
+    """One document of each group of near copies stays, by the rule of the SimHash operator."""
     return keep_smallest(docs)
 
 
