@@ -77,6 +77,19 @@ def test_groups(spark):
     assert {r["doc_id"] for r in kept.collect()} == best
 
 
+def test_rows_without_id(spark):
+    """A copy without id goes where its group has one; the only one of its kind stays."""
+    rows = [(1, "a b c d"), (None, "A  b c d"), (None, "quite another text"), (2, None), (None, "")]
+    docs = spark.createDataFrame(
+        [(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _fp int, _kept int"
+    )
+    kept = keep_smallest(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [
+        (0, "quite another text"), (1, "a b c d"), (2, None),
+    ]
+
+
 def test_empty(spark):
     assert run(spark, [])[1] == []
 

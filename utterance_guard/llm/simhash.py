@@ -237,7 +237,17 @@ def hex_print(fp: str = "fp"):
 
 def keep_smallest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, the smallest id, with all its columns. Rows that share a
-    doc_id stay or go together."""
-    kept = near_groups(docs, doc_id, text).filter(F.expr("doc_id <=> component_id"))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    doc_id stay or go together; those without one stay where no row of their group has one."""
+    kept = written(
+        near_groups(docs, doc_id, text).filter(F.expr("doc_id <=> component_id")), "near-kept"
+    )
+    number = docs[doc_id].cast("long")
+    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(ids, number == ids["_kept"], "left_semi")
+    lone = kept.filter("doc_id IS NULL").select(F.col("fp").alias("_kept")).distinct()
+    name = "_fp"
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    nameless = docs.filter(number.isNull()).withColumn(name, print_column(text))
+    nameless = nameless.join(lone, nameless[name] == lone["_kept"], "left_semi").drop(name)
+    return named.unionByName(nameless)
