@@ -248,6 +248,6 @@ def keep_smallest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     name = "_fp"
     while name in {c.lower() for c in docs.columns}:
         name = "_" + name
-    nameless = docs.filter(number.isNull()).withColumn(name, print_column(text))
+    nameless = docs.filter(number.isNull()).withColumn(name, print_column(text, WIDTH))
     nameless = nameless.join(lone, nameless[name] == lone["_kept"], "left_semi").drop(name)
     return named.unionByName(nameless)
