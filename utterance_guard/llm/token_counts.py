@@ -140,9 +140,10 @@ class JsonCounter:
             if len(memo) > MEMO_WORDS:
                 memo.clear()
         model = self.library.model
-        for word in set(words) - memo.keys():
-            letters = word.encode().decode("latin-1").translate(self.spelling)
-            memo[word] = len(model.tokenize(letters))
+        for word in words:
+            if word not in memo:
+                letters = word.encode().decode("latin-1").translate(self.spelling)
+                memo[word] = len(model.tokenize(letters))
         return sum(map(memo.__getitem__, words))
 
 
