@@ -20,6 +20,7 @@ from utterance_guard.operators.scoring import individual, with_ensemble
 
 MODEL_SOURCE = "model_ensemble"
 EMPTY_REASON = "empty_input"
+ERROR_REASON = "scorer_error"
 CALLER = "_caller"
 VERDICT_COLUMNS = {
     "batch": {"label", "confidence", "needs_review", "source"},
@@ -55,12 +56,15 @@ def moderate(
 
     ``batch`` gives ``label, confidence, needs_review, source`` with the confidence rounded.
     ``online`` strips the text first, answers empty input, and gives ``is_nondeli, label,
-    confidence, reason, individual_seeds`` unrounded.
+    confidence, reason, individual_seeds`` unrounded. A scorer that isolates failures adds
+    ``error``; a row that has one has no label, no confidence and ``scorer_error`` as its reason.
     """
     if mode not in VERDICT_COLUMNS:
         raise ValueError(f"unknown mode: {mode}")
     kept = df.columns
-    taken = (VERDICT_COLUMNS[mode] | {CALLER}).intersection(kept)
+    may_fail = getattr(scorer, "isolate", False)
+    taken = VERDICT_COLUMNS[mode] | {CALLER} | ({"error"} if may_fail else set())
+    taken = taken.intersection(kept)
     if taken:
         raise ValueError(f"rename before moderating: {', '.join(sorted(taken))}")
     # the caller's columns travel in one, out of the way of those made here
@@ -82,8 +86,12 @@ def moderate(
     reason = (
         F.when(empty, EMPTY_REASON)
         .when(hit, blocklist_reason("matched_sources"))
-        .otherwise(F.lit(model_source))
     )
+    error = []
+    if may_fail:
+        error = [F.col("score_error").alias("error")]
+        reason = reason.when(F.col("score_error").isNotNull(), ERROR_REASON)
+    reason = reason.otherwise(F.lit(model_source))
     if mode == "batch":
         return judged.select(
             *kept,
@@ -91,6 +99,7 @@ def moderate(
             round4(confidence).alias("confidence"),
             (~hit & needs_review("confidence", low, high)).alias("needs_review"),
             reason.alias("source"),
+            *error,
         )
     return judged.select(
         *kept,
@@ -99,4 +108,5 @@ def moderate(
         confidence.alias("confidence"),
         reason.alias("reason"),
         F.when(~(empty | hit), individual(F.col("members"))).alias("individual_seeds"),
+        *error,
     )

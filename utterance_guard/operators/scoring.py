@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
 import numpy as np
@@ -29,6 +29,7 @@ from utterance_guard.functions.probability import (
 )
 from utterance_guard.functions.text import LABELS, normalize, tokens
 from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
+from utterance_guard.operators.skew import skewed_join
 from utterance_guard.operators.stages import settle
 
 INLINE_TOKENS = 128
@@ -159,14 +160,8 @@ class WeightScorer:
         if small:
             joined = exploded.join(F.broadcast(wide), "token")
         else:
-            # a common token may make up much of all rows: salt it over several tasks
-            salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            spread = wide.withColumn(
-                "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-            )
-            joined = exploded.withColumn(
-                "salt", F.pmod(F.xxhash64(self.row_id), F.lit(salts)).cast("int")
-            ).join(spread, ["token", "salt"])
+            # a common token may make up much of all rows
+            joined = skewed_join(exploded, wide, "token", self.row_id)
         sums = joined.groupBy(self.row_id).agg(*[F.sum(n).alias(n) for n in names])
         return (
             df.join(sums, self.row_id, "left")
@@ -224,19 +219,31 @@ class ModelScorer:
 class OutsideScorer:
     """Any model behind Python functions, one per seed. Each ``load`` runs once per worker and
     returns a function from a list of texts to an array of logits, one row per text. Null
-    texts, which the lexicon has settled, are not shown to it and get logits of zero."""
+    texts, which the lexicon has settled, are not shown to it and get logits of zero.
+
+    A batch that raises ends the job, unless ``isolate`` is set: then it is halved until the
+    texts that fail stand alone. Those get null logits, and so a null label and confidence, and
+    what was raised in ``score_error``; the rest is scored. A model that cannot be loaded fails
+    all texts of a batch, and is tried again at the next.
+    """
 
     loaders: dict[int, Callable[[], Callable[[list[str]], np.ndarray]]]
     labels: tuple[str, ...] = LABELS
     scorer_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    isolate: bool = False
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         names = []
+        batched = _isolated if self.isolate else _batched
         for seed, load in self.loaders.items():
             names.append(f"_logits_{seed}")
-            made = _batched(load, (self.scorer_id, seed), len(self.labels))
+            made = batched(load, (self.scorer_id, seed), len(self.labels))
             df = df.withColumn(names[-1], made(F.col(text)))
         logits = [F.col(n) for n in names]
+        if self.isolate:
+            errors = [F.col(n)["error"] for n in names]
+            logits = [F.when(F.coalesce(*errors).isNull(), F.col(n)["logits"]) for n in names]
+            df = df.withColumn("score_error", F.coalesce(*errors))
         return with_members(df, logits, list(self.loaders), self.labels).drop(*names)
 
 
@@ -263,6 +270,45 @@ def _batched(load: Callable, key: tuple[str, int], classes: int):
     return logits
 
 
+def _isolated(load: Callable, key: tuple[str, int], classes: int):
+    def said(error: Exception) -> tuple[None, str]:
+        return None, f"{type(error).__name__}: {error}"
+
+    def tried(model: Callable, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            return [(row, None) for row in np.asarray(model(texts), float)]
+        except Exception as error:  # whatever a model may raise
+            if len(texts) == 1:
+                return [said(error)]
+            half = len(texts) // 2
+            return tried(model, texts[:half]) + tried(model, texts[half:])
+
+    def scored(texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+        try:
+            model = loaded(key, load)
+        except Exception as error:
+            return [said(error)] * len(texts)
+        return tried(model, texts)
+
+    # not deterministic, so that a filter on the outcome does not ask the model a second time
+    @F.pandas_udf("logits array<double>, error string")
+    def outcome(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            open_ = np.flatnonzero(batch.notna().to_numpy())
+            rows = [(np.zeros(classes), None)] * len(batch)
+            if len(open_):
+                for i, row in zip(open_.tolist(), scored(batch.iloc[open_].tolist())):
+                    rows[i] = row
+            yield pd.DataFrame(rows, columns=["logits", "error"])
+
+    return outcome.asNondeterministic()
+
+
+def isolated(scorer):
+    """The same scorer, with the failure of one text kept from the others where it can fail."""
+    return replace(scorer, isolate=True) if isinstance(scorer, OutsideScorer) else scorer
+
+
 def with_ensemble(df: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Mean of the members' probabilities, then the best class. No vote: two narrow members
     lose against one that is sure."""

@@ -34,6 +34,11 @@ HISTORY = _schema(
 )
 SPEECH = _schema(speaker_id=LONG, ts=TIMESTAMP, text=STRING, is_final=BOOLEAN)
 
+#: As a recogniser sends them: it numbers its results and sends them again as they change.
+SPEECH_RESULTS = _schema(
+    speaker_id=LONG, ts=TIMESTAMP, text=STRING, is_final=BOOLEAN, result_no=LONG
+)
+
 
 class SchemaMismatch(ValueError):
     pass

@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from utterance_guard.functions.text import nfkc, normalize, phrase_form, round4, strip
 from utterance_guard.sources.contract import HISTORY, LEXICON, SPEECH, SchemaMismatch, check_schema
@@ -219,9 +220,16 @@ def load_models(folder: str, seeds: tuple[int, ...]) -> dict[int, PipelineModel]
     return models
 
 
-def speech_stream(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Utterances as they arrive: files dropped into a folder."""
-    return spark.readStream.schema(SPEECH).format(fmt).options(**options).load(path)
+def speech_stream(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: T.StructType = SPEECH,
+    **options: str,
+) -> DataFrame:
+    """Utterances as they arrive: files dropped into a folder. ``SPEECH_RESULTS`` is the schema
+    of numbered results."""
+    return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
 def speech_messages(messages: DataFrame) -> DataFrame:

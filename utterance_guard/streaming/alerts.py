@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from utterance_guard.functions.text import KEYWORDS, keyword_hit
 from utterance_guard.operators.cascade import moderate
 from utterance_guard.operators.metrics import verdict_summary
+from utterance_guard.operators.scoring import isolated
 
 # Fixed value: how long an alert stays on screen, in seconds.
 EPISODE_GAP_SECONDS = 6.0
@@ -37,10 +38,47 @@ def alerts(
 ) -> DataFrame:
     """Online verdict and keyword check of every final utterance. Stateless.
 
-    The keyword check reads the transcript as it came, the cascade a stripped copy.
+    The keyword check reads the transcript as it came, the cascade a stripped copy. An outside
+    model that raises costs the texts it raised for their verdict and nothing else: their
+    keyword check stands, and ``error`` says what happened.
     """
     final = final_utterances(utterances).withColumn("keyword", keyword_hit("text", words))
-    return with_alert(moderate(final, lexicon, scorer, "online", row_id))
+    return with_alert(moderate(final, lexicon, isolated(scorer), "online", row_id))
+
+
+def new_results(
+    utterances: DataFrame,
+    late: str = "1 minute",
+    speaker: str = "speaker_id",
+    number: str = "result_no",
+    ts: str = "ts",
+) -> DataFrame:
+    """Final utterances of a stream, each once: a recogniser sends its list of results again
+    and again, and a final one does not change any more. State is one row per result until the
+    watermark has passed it by ``late``. An utterance without a number is always new."""
+    final = final_utterances(utterances).withWatermark(ts, late)
+    numbered = final.filter(F.col(number).isNotNull())
+    return numbered.dropDuplicatesWithinWatermark([speaker, number]).unionByName(
+        final.filter(F.col(number).isNull())
+    )
+
+
+def latest_results(
+    utterances: DataFrame,
+    speaker: str = "speaker_id",
+    number: str = "result_no",
+    ts: str = "ts",
+) -> DataFrame:
+    """The last transcript of each numbered result, for data at rest: a final one comes after
+    interim ones of the same time, then the greater text. Rows without a number all stay."""
+    rest = [c for c in utterances.columns if c not in (speaker, number)]
+    numbered = utterances.filter(F.col(number).isNotNull())
+    last = numbered.groupBy(speaker, number).agg(
+        F.max_by(F.struct(*rest), F.struct(ts, "is_final", "text")).alias("_last")
+    )
+    kept = last.select(*[F.col(c) if c in (speaker, number) else F.col("_last")[c].alias(c)
+                         for c in utterances.columns])
+    return kept.unionByName(utterances.filter(F.col(number).isNull()))
 
 
 def episodes_stream(
