@@ -189,6 +189,62 @@ def split_exact(
     )
 
 
+def split_texts(
+    df: DataFrame,
+    seed: int,
+    eval_percent: int = EVAL_PERCENT,
+    text: str = "text",
+    prefix: int = 4,
+) -> DataFrame:
+    """Add ``side`` so that equal texts share one and eval has as nearly the given percent of
+    each label's rows as whole groups of texts allow.
+
+    Groups are taken in order of a hash of seed and text, weighted by their rows, as long as
+    that brings the share nearer. A group whose rows disagree counts under its smallest label;
+    null texts are one group. The cut is found by a histogram over hash prefixes, and only
+    the groups of one bin are summed in order. A text that is a third of all rows is one group
+    throughout; Spark splits its key in the join that brings the sides to the rows.
+    """
+    digest = F.coalesce(seeded_hash(seed, text), F.lit(""))
+    keyed = cut_lineage(df.withColumn("_hash", digest))
+    groups = cut_lineage(
+        keyed.groupBy("_hash")
+        .agg(F.min("label").alias("stratum"), F.count("*").alias("n"))
+        .withColumn("bin", F.substring("_hash", 1, prefix))
+    )
+    by_stratum = W.partitionBy("stratum")
+    bins = (
+        groups.groupBy("stratum", "bin")
+        .agg(F.sum("n").alias("n"))
+        .withColumn("share", F.sum("n").over(by_stratum) * eval_percent)
+        .withColumn("before", F.sum("n").over(by_stratum.orderBy("bin")) - F.col("n"))
+        .filter((F.col("before") * 100 <= F.col("share"))
+                & (F.col("share") < (F.col("before") + F.col("n")) * 100))
+        .select(F.col("stratum").alias("of"), F.col("bin").alias("cut_bin"), "share", "before")
+    )
+    # one row per label: a few numbers and the last hash that is taken
+    inside = groups.join(
+        F.broadcast(bins),
+        F.expr("stratum <=> of AND bin = cut_bin"),
+    ).select("stratum", "_hash", "n", "cut_bin", "share", "before")
+    upto = F.col("before") + F.sum("n").over(by_stratum.orderBy("_hash")) - F.col("n")
+    taken = (2 * upto + F.col("n")) * 100 <= 2 * F.col("share")
+    cuts = cut_lineage(
+        inside.withColumn("taken", taken)
+        .groupBy(F.col("stratum").alias("of"), "cut_bin")
+        .agg(F.max(F.when(F.col("taken"), F.col("_hash"))).alias("cut"))
+    )
+    sides = groups.join(F.broadcast(cuts), F.expr("stratum <=> of"), "left").select(
+        "_hash",
+        F.when(
+            F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))
+            | (F.col("_hash") <= F.col("cut")),
+            EVAL,
+        ).otherwise(TRAIN).alias("side"),
+    )
+    return keyed.join(cut_lineage(sides), "_hash").select(*df.columns, "side")
+
+
 def compared_text(text: str = "text", loose: bool = False) -> Column:
     """Texts as they are, or (``loose``) without case, width and punctuation."""
     return strip_punctuation(normalize(text)) if loose else F.col(text)

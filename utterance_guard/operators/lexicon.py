@@ -1,14 +1,17 @@
 """Lexicon matching: which entries occur in a text.
 
-Two plans give the same hits.
+Three plans give the same hits.
 
 * A lexicon of up to ``INLINE_LIMIT`` entries becomes part of the projection: each text is
   tested against each word, in place, with no join and no shuffle.
-* A larger one is joined on anchors, the first few characters of a word. A text's distinct
+* A larger one becomes an index over all words, which workers hold and each text is searched
+  for once (``patterns``). No join and no shuffle either, on a batch as on a stream; entries are
+  measured before they are sent out.
+* One beyond that is joined on anchors, the first few characters of a word. A text's distinct
   pieces of that length meet the words that begin so, and those words are sought in the text.
   Phrases are anchored on their first token. The lexicon is broadcast while its measured size
   allows, and only hits are shuffled then. Past that row ids and pieces are shuffled and meet
-  the lexicon with both sides salted, because one anchor may occur in a large part of all texts.
+  the lexicon; anchors that occur in a large part of all texts are found first, and salted.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from utterance_guard.functions.text import normalize, phrase_form
+from utterance_guard.operators.patterns import INDEX_CHARS, entries_if_small, indexed_hits
 from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
+from utterance_guard.operators.skew import skewed_join
 from utterance_guard.operators.stages import settle
 from utterance_guard.sources.files import PHRASE, SUBSTRING
 
@@ -46,6 +51,7 @@ def blocklist(
     marker: str = PHRASE_MARKER,
     inline_limit: int = INLINE_LIMIT,
     can_broadcast: bool | None = None,
+    index_chars: int = INDEX_CHARS,
 ) -> DataFrame:
     """Add ``matched``, ``matched_words``, ``matched_sources`` and ``normal_text``.
 
@@ -56,9 +62,16 @@ def blocklist(
     usable = lexicon.filter(F.col("word") != "")
     few = rows_if_few(usable, inline_limit)
     prepared = df.withColumn("normal_text", normalize(text))
-    if few is None:
+    held_entries = entries_if_small(usable, index_chars) if few is None else None
+    if held_entries is not None:
+        any_phrase = any(e["mode"] == PHRASE for e in held_entries)
+        padded = phrase_form(text) if any_phrase else F.lit(None).cast("string")
+        found = prepared.withColumn(
+            "hits", indexed_hits(df, held_entries, marker, HITS, "normal_text", padded)
+        )
+    elif few is None:
         if df.isStreaming:
-            raise ValueError("a large lexicon needs alert_stream, which works batch by batch")
+            raise ValueError("a lexicon this large needs alert_stream, which works by batches")
         hits = _joined_hits(prepared, usable, text, row_id, marker, can_broadcast)
         found = prepared.join(hits, row_id, "left").withColumn(
             "hits", F.coalesce("hits", F.array().cast(HITS))
@@ -207,15 +220,9 @@ def _anchored(
     if can_broadcast:
         seen = hay.withColumn("key", F.explode(pieces))
         return seen.join(F.broadcast(entries), "key").filter(in_text)
-    # a common key may occur in a large part of all texts: salt it over the session's tasks
-    salts = int(hay.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
-    spread = entries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    candidates = (
-        hay.select(row_id, salt.alias("salt"), F.explode(pieces).alias("key"))
-        .join(spread, ["key", "salt"])
-        .drop("key", "salt")
-    )
+    # a common key may occur in a large part of all texts
+    seen = hay.select(row_id, F.explode(pieces).alias("key"))
+    candidates = skewed_join(seen, entries, "key", row_id).drop("key")
     return candidates.join(hay, row_id).filter(in_text)
 
 

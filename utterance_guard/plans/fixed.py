@@ -6,12 +6,15 @@ A high F1 with them shows that the parts fit together, not that a model is any g
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 from functools import lru_cache
 
+import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from utterance_guard.operators.scoring import WeightScorer
+from utterance_guard.operators.scoring import OutsideScorer, WeightScorer
 from utterance_guard.sources.files import PHRASE, make_lexicon
 
 SUBSTRINGS = ("trash", "clown", "scum", "idiot", "worth", "worthless")
@@ -76,6 +79,32 @@ def bigram_scorer(spark: SparkSession) -> WeightScorer:
     return _scorer(spark, PAIRS, "bigram")
 
 
+# Fixed value: the longest text that the stand-in for an outside model accepts.
+OUTSIDE_CHARS = 400
+
+
+def outside_scorer(longest: int | None = None) -> OutsideScorer:
+    """The same weights behind Python functions; a text over ``longest`` is refused."""
+
+    def loader(slot: int, bias: float) -> Callable:
+        def load() -> Callable:
+            word = regex.compile(r"\p{L}+")
+            known = {token: float(ws[slot]) for token, ws in WEIGHTS.items()}
+
+            def logits(texts: list[str]) -> np.ndarray:
+                for t in texts:
+                    if longest and len(t) > longest:
+                        raise ValueError(f"{len(t)} characters")
+                margins = [bias + sum(known.get(w, 0.0) for w in word.findall(t)) for t in texts]
+                return np.stack([np.zeros(len(texts)), margins], axis=1)
+
+            return logits
+
+        return load
+
+    return OutsideScorer({m: loader(i, float(b)) for i, (m, b) in enumerate(BIAS.items())})
+
+
 def _scorer(spark: SparkSession, weights: dict, kind: str) -> WeightScorer:
     rows = [
         (member, token, Decimal(w))

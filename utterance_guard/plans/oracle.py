@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from utterance_guard.functions.text import BLANKS, HARASSMENT_LABEL, NONE_LABEL, PUNCTUATION
-from utterance_guard.operators.cascade import EMPTY_REASON, MODEL_SOURCE
+from utterance_guard.operators.cascade import EMPTY_REASON, ERROR_REASON, MODEL_SOURCE
 from utterance_guard.operators.curate import AUGMENT_REASON, EVAL, TRAIN
 from utterance_guard.operators.lexicon import PHRASE_MARKER
 from utterance_guard.operators.review import ADD_PAIRS, WATCH
@@ -478,4 +478,51 @@ def oracle() -> dict[str, str]:
             count(*) FILTER (label = '{HARASSMENT_LABEL}') AS n_harassment,
             count(*) FILTER (needs_review) AS n_review
         FROM verdicts JOIN events ON event_id = row_id GROUP BY 1"""
+    sql["outside_scores"] = sql["member_scores"]
+    refused = f"NOT empty AND NOT hit AND length(text) > {fixed.OUTSIDE_CHARS}"
+    keyword = hit.replace("text", "raw")
+    sql["alerts_with_failures"] = f"""WITH {lines},
+        final AS (SELECT * FROM rows WHERE is_final),
+        {_scores("final")}, {_lexicon("final")}, judged AS (
+            SELECT h.*, raw, p0, p1, h.text = '' AS empty,
+                h.text <> '' AND (len(words) > 0 OR phrase) AS hit
+            FROM hits h JOIN ensemble USING (row_id) JOIN final USING (row_id)),
+        told AS (
+            SELECT *, {refused} AS refused,
+                CASE WHEN NOT ({refused}) THEN NOT empty AND (hit OR p1 > p0) END AS is_nondeli
+            FROM judged)
+        SELECT row_id, ({keyword}) AS keyword, is_nondeli,
+            CASE WHEN empty THEN '{EMPTY_REASON}' WHEN hit THEN {REASON}
+                 WHEN refused THEN '{ERROR_REASON}' ELSE '{MODEL_SOURCE}' END AS reason,
+            ({keyword}) OR coalesce(is_nondeli, false) AS alert,
+            CASE WHEN refused THEN 'ValueError: ' || length(text) || ' characters' END AS error
+        FROM told"""
+    sql["latest_transcripts"] = f"""
+        SELECT conv_id AS speaker_id, turn::BIGINT AS result_no, true AS is_final,
+            md5(text) AS text_md5, ({hit}) AS keyword FROM conversations"""
+    sql["episode_signals"] = f"""WITH e AS ({sql["alert_episodes"]})
+        SELECT speaker_id, 'open' AS signal, first_us, NULL::BIGINT AS last_us,
+            NULL::BIGINT AS n_alerts FROM e
+        UNION ALL SELECT speaker_id, 'closed', first_us, last_us, n_alerts FROM e"""
+    sql["utterance_lines"] = f"""
+        SELECT row_id, {STRIP.format("t")} AS text FROM (
+            SELECT row_number() OVER (ORDER BY doc_id, line) - 1 AS row_id, t FROM (
+                SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l
+                      FROM documents)))
+        WHERE {STRIP.format("t")} <> ''"""
+    sql["split_texts"] = f"""WITH {ONLY}, g AS (
+            SELECT {_hash(42, "text")} AS h, min(label) AS s, count(*) AS n
+            FROM labelled_only GROUP BY 1),
+        c AS (
+            SELECT h, n, sum(n) OVER (PARTITION BY s ORDER BY h) - n AS before,
+                sum(n) OVER (PARTITION BY s) AS total FROM g)
+        SELECT row_id, label,
+            CASE WHEN 100 * (2 * before + n) <= 30 * total THEN '{EVAL}' ELSE '{TRAIN}' END AS side
+        FROM labelled_only JOIN c ON h = {_hash(42, "text")}"""
+    four = METRIC_COLUMNS.replace(", 6)", ", 4)")
+    sql["history_runs"] = f"""WITH {JUDGED}
+        SELECT unix_time, n AS n_eval_samples, accuracy, precision, recall, f1
+        FROM (SELECT {four} FROM (SELECT {CONFUSION} FROM judged))
+        CROSS JOIN (VALUES (1704070800::BIGINT), (1704074400::BIGINT)) AS v(unix_time)"""
     return sql

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +29,18 @@ from utterance_guard.operators.scoring import (
     score_texts,
 )
 from utterance_guard.plans import fixed
-from utterance_guard.session import cut_lineage
-from utterance_guard.sources.files import SUBSTRING, clean_utterances, spread_rows
+from utterance_guard.session import cut_lineage, shared_folder
+from utterance_guard.sources.files import (
+    SUBSTRING,
+    append_history,
+    clean_utterances,
+    history_row,
+    read_history,
+    read_utterances,
+    spread_rows,
+)
 from utterance_guard.streaming import alerts as speech
+from utterance_guard.streaming import episodes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -584,6 +595,85 @@ def member_scores_bigram(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scored_rows.select("row_id", "seed", "margin", "p1"), "margin", "p1")
 
 
+# more ways in and out
+
+
+def outside_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of a model behind Python functions, loaded once per worker."""
+    rows = documents(spark, folder, spread=True)
+    members = member_rows(score_members(rows, fixed.outside_scorer()))
+    return rounded(members.select("row_id", "seed", "margin", "p1"), "margin", "p1")
+
+
+def alerts_with_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts while the model refuses long texts: those have an error and their keyword check."""
+    out = speech.alerts(
+        lines(spark, folder),
+        fixed.two_lexicons(spark),
+        fixed.outside_scorer(fixed.OUTSIDE_CHARS),
+        fixed.KEYWORDS,
+    )
+    return out.select("row_id", "keyword", "is_nondeli", "reason", "alert", "error")
+
+
+def latest_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn as a numbered result: its first line as an interim transcript, then the whole
+    turn as the final one, all of it sent twice."""
+    turns = table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("speaker_id"), F.col("turn").cast("long").alias("result_no"),
+        F.timestamp_seconds(F.col("turn") * 10).alias("ts"), "text",
+    )
+    interim = turns.withColumns({
+        "text": F.substring_index("text", "\n", 1), "is_final": F.lit(False)
+    })
+    final = turns.withColumns({
+        "ts": F.col("ts") + F.expr("INTERVAL 2 SECONDS"), "is_final": F.lit(True)
+    })
+    sent = interim.unionByName(final)
+    latest = speech.latest_results(sent.unionByName(sent))
+    return latest.select(
+        "speaker_id", "result_no", "is_final", F.md5("text").alias("text_md5"),
+        keyword_hit("text", fixed.KEYWORDS).alias("keyword"),
+    )
+
+
+def episode_signals(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select(
+        F.col("user_id").alias("speaker_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    both = episodes.episode_signals_batch(events, gap_seconds=7200)
+    return both.select(
+        "speaker_id", "signal", F.unix_micros("first_ts").alias("first_us"),
+        F.unix_micros("last_ts").alias("last_us"), "n_alerts",
+    )
+
+
+def utterance_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as text files in order, read again as utterances."""
+    path = f"{shared_folder(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
+    documents(spark, folder).orderBy("row_id").select(F.coalesce("text", F.lit(""))).write.text(path)
+    return read_utterances(spark, path)
+
+
+def split_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents with all their copies."""
+    rows = only_labelled(spark, folder)
+    return curate.split_texts(rows, SEED).select("row_id", "label", "side")
+
+
+def history_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two evaluation runs, of which the first is repeated: a row each."""
+    path = f"{shared_folder(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    result = cut_lineage(metrics.binary_metrics(judged(spark, folder)))
+    for run, hour in (("first", 1), ("first", 1), ("second", 2)):
+        at = dt.datetime(2024, 1, 1, hour, tzinfo=dt.timezone.utc)
+        append_history(history_row(result, None, at), path, run_id=run)
+    rows = read_history(spark, path)
+    return rows.select(
+        F.unix_seconds("timestamp").alias("unix_time"), "n_eval_samples", *metrics.METRICS
+    )
+
+
 QUERIES: tuple[Query, ...] = (
     utterances_clean, text_normalized, punctuation_free, keyword_alerts, token_truncate,
     blocklist_hits, blocklist_two_sources, blocklist_hits_large,
@@ -596,6 +686,8 @@ QUERIES: tuple[Query, ...] = (
     review_queue, error_patterns, suspect_words, error_by_area, monthly_review,
     stream_alerts, alert_episodes, daily_verdicts,
     train_eval, multi_seed, training_rows, export_gap, tokens_bigram, member_scores_bigram,
+    outside_scores, alerts_with_failures, latest_transcripts, episode_signals, utterance_lines,
+    split_texts, history_runs,
 )
 
 

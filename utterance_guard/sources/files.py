@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import uuid
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -10,8 +12,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from utterance_guard.functions.text import nfkc, normalize, phrase_form, round4, strip
+from utterance_guard.operators.sizes import fits_broadcast
+from utterance_guard.session import cut_lineage
 from utterance_guard.sources.contract import HISTORY, LEXICON, SPEECH, SchemaMismatch, check_schema
 
 SUBSTRING, PHRASE = "substring", "phrase"
@@ -28,13 +33,37 @@ def clean_utterances(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, strip(text)).filter(F.col(text) != "")
 
 
-def read_utterances(spark: SparkSession, path: str) -> DataFrame:
-    """One utterance per line: ``row_id, text``. Within one file ``row_id`` rises with the
-    line; it has gaps, and over several files it follows the order in which Spark packs them."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``row_id, value``: all lines, numbered from zero over the files in order of their paths.
+
+    However the files are cut and packed into tasks, the numbers are the same. A first pass
+    counts the lines that begin in each split, reading no text out of the scan; the counts, a
+    row per split, are summed up in order; a second pass adds a line's place in its split.
+    """
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("value").alias("text")
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    )
+    splits = lines.groupBy("file", "start").agg(
+        F.count("*").alias("n"), F.min("place").alias("first")
+    )
+    before = F.sum("n").over(W.orderBy("file", "start")) - F.col("n")
+    offsets = cut_lineage(splits.select("file", "start", (before - F.col("first")).alias("offset")))
+    if fits_broadcast(offsets):
+        offsets = F.broadcast(offsets)
+    return lines.join(offsets, ["file", "start"]).select(
+        (F.col("place") + F.col("offset")).alias("row_id"), "value"
+    )
+
+
+def read_utterances(spark: SparkSession, path: str) -> DataFrame:
+    """One utterance per line: ``row_id, text``. ``row_id`` is the number of the line over all
+    files, blank ones counted, so sorting by it gives input order."""
+    return clean_utterances(
+        numbered_lines(spark, path).select("row_id", F.col("value").alias("text"))
     )
-    return clean_utterances(lines)
 
 
 def spread_rows(df: DataFrame, row_id: str) -> DataFrame:
@@ -179,9 +208,15 @@ def history_row(
     )
 
 
-def append_history(metrics: DataFrame, path: str, official: bool = True) -> bool:
+def append_history(
+    metrics: DataFrame, path: str, official: bool = True, run_id: str | None = None
+) -> bool:
     """Append a metrics row to the history, rounded to four digits, for the official set only.
-    Returns whether anything was written."""
+    Returns whether anything was written.
+
+    Each run has a folder of its own. With a ``run_id`` a job that is repeated writes its row in
+    the place of the first: it is there once or, where every attempt was killed, not at all.
+    """
     if not official:
         return False
     rounded = metrics.select(
@@ -190,12 +225,13 @@ def append_history(metrics: DataFrame, path: str, official: bool = True) -> bool
         F.col("n_eval_samples").cast("long").alias("n_eval_samples"),
         *[round4(m).alias(m) for m in ("accuracy", "precision", "recall", "f1")],
     )
-    check_schema(rounded, HISTORY).write.mode("append").parquet(path)
+    key = uuid.uuid4().hex if run_id is None else hashlib.sha256(run_id.encode()).hexdigest()
+    check_schema(rounded, HISTORY).write.mode("overwrite").parquet(f"{path}/run={key}")
     return True
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).parquet(path)
+    return spark.read.schema(HISTORY).parquet(path).select(*HISTORY.names)
 
 
 def model_path(folder: str, seed: int) -> str:
