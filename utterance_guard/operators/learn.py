@@ -11,6 +11,7 @@ import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
@@ -112,6 +113,51 @@ def fit(tokenised: DataFrame, seed: int, settings: Settings = Settings()) -> Pip
     return Pipeline(stages=stages).fit(rows)
 
 
+def fit_residual(
+    model: PipelineModel, tokenised: DataFrame, seed: int, settings: Settings = Settings()
+) -> DataFrame:
+    """``feature, residual``: the gradient of the fitted loss for every feature that a training
+    row has, and for the intercept as feature -1. At the optimum all are zero.
+
+    The loss is the weighted mean of the log losses plus half the decay times the squares of
+    the coefficients, in units of their feature's standard deviation. A task sums
+    what its rows add per feature before anything is shuffled; the driver sees totals and the
+    coefficients, of which there are as many as hashed features.
+    """
+    rows = training_rows(tokenised, seed, settings)
+    fitted = model.stages[-1]
+    off = vector_to_array(F.col(fitted.getProbabilityCol()))[1] - F.col("label")
+    scored = model.transform(rows).select(
+        "weight", (F.col("weight") * off).alias("pull"),
+        F.unwrap_udt(fitted.getFeaturesCol()).alias("x"),
+    )
+    parts = scored.select(
+        "weight", "pull", F.inline(F.arrays_zip(F.col("x.indices"), F.col("x.values")))
+    ).toDF("weight", "pull", "feature", "value")
+    sums = parts.groupBy("feature").agg(
+        F.sum(F.col("pull") * F.col("value")).alias("pulled"),
+        F.sum(F.col("weight") * F.col("value")).alias("once"),
+        F.sum(F.col("weight") * F.col("value") ** 2).alias("twice"),
+    )
+    total = scored.agg(
+        F.sum("weight").alias("w"), F.sum(F.col("weight") ** 2).alias("w2"),
+        F.sum("pull").alias("pulled"),
+    ).first()
+    spark, mass = tokenised.sparkSession, total["w"]
+    held = pd.DataFrame({"beta": fitted.coefficients.toArray()}).reset_index(names="feature")
+    betas = spark.createDataFrame(held.astype({"feature": "int32"}))
+    spread = F.sqrt(
+        (F.col("twice") - F.col("once") ** 2 / mass) / (mass - total["w2"] / mass)
+    )
+    residual = F.when(spread > 0, F.col("pulled") / mass / spread
+                      + fitted.getRegParam() * F.col("beta") * spread).otherwise(F.lit(0.0))
+    own = sums.join(F.broadcast(betas), "feature").select(
+        F.col("feature").cast("int").alias("feature"), residual.alias("residual")
+    )
+    level = spark.createDataFrame([(-1, total["pulled"] / mass)], "feature int, residual double")
+    return own.unionByName(level)
+
+
 def evaluate(
     models: dict[int, PipelineModel], df: DataFrame, expected: str = "label", kind: str = "word"
 ) -> DataFrame:

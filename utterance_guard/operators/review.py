@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterance_guard.functions.text import normalize, tokens
+from utterance_guard.functions.text import normalize, strip, tokens
 from utterance_guard.operators.metrics import ratio
 
 # The rules of thumb for acting on errors.
@@ -46,6 +46,45 @@ def error_patterns(
     )
 
 
+def mined_endings(
+    judged: DataFrame,
+    longest: int = 6,
+    minimum: int = PATTERN_MINIMUM,
+    expected: str = "expected_label",
+    predicted: str = "predicted",
+) -> DataFrame:
+    """Endings of up to ``longest`` characters that at least ``minimum`` wrong rows share, with
+    the rows that have them at all, and what to do about each. An ending is left out where one
+    that is a character longer ends just as many wrong rows: that one says more.
+
+    A row gives one narrow row per ending, and they are counted in each task first.
+    """
+    whole = strip(F.coalesce("text", F.lit("")))
+    sizes = F.sequence(F.lit(1), F.least(F.char_length("_text"), F.lit(longest)))
+    ended = (
+        judged.select(whole.alias("_text"),
+                      (F.col(expected) != F.col(predicted)).cast("long").alias("wrong"))
+        .filter("_text <> ''")
+        .select("wrong", F.explode(F.transform(sizes, lambda n: F.right("_text", n))).alias("ending"))
+    )
+    counted = (
+        ended.groupBy("ending")
+        .agg(F.count("*").alias("n"), F.sum("wrong").alias("n_wrong"))
+        .filter(F.col("n_wrong") >= minimum)
+    )
+    explained = (
+        counted.filter(F.char_length("ending") > 1)
+        .groupBy(F.expr("substring(ending, 2)").alias("ending"))
+        .agg(F.max("n_wrong").alias("most"))
+    )
+    return (
+        counted.join(explained, "ending", "left")
+        .filter(F.coalesce("most", F.lit(0)) < F.col("n_wrong"))
+        .select("ending", "n", "n_wrong", ratio(F.col("n_wrong"), F.col("n")).alias("share"),
+                F.lit(ADD_PAIRS).alias("action"))
+    )
+
+
 def suspect_words(
     judged: DataFrame,
     expected: str = "expected_label",

@@ -79,6 +79,9 @@ def bigram_scorer(spark: SparkSession) -> WeightScorer:
     return _scorer(spark, PAIRS, "bigram")
 
 
+#: Enough for a fit to end by itself, and what its gradient may then be.
+ROUNDS_TO_THE_END, SETTLED = 300, 1e-6
+
 # Fixed value: the longest text that the stand-in for an outside model accepts.
 OUTSIDE_CHARS = 400
 

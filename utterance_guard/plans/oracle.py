@@ -525,4 +525,21 @@ def oracle() -> dict[str, str]:
         SELECT unix_time, n AS n_eval_samples, accuracy, precision, recall, f1
         FROM (SELECT {four} FROM (SELECT {CONFUSION} FROM judged))
         CROSS JOIN (VALUES (1704070800::BIGINT), (1704074400::BIGINT)) AS v(unix_time)"""
+    sql["mined_endings"] = f"""WITH {JUDGED}, r AS (
+            SELECT {STRIP.format("text")} AS t, (expected_label <> predicted)::INT AS wrong
+            FROM judged),
+        e AS (
+            SELECT wrong, unnest(list_transform(range(1, least(length(t), 6) + 1),
+                lambda n: right(t, n))) AS ending FROM r WHERE t <> ''),
+        c AS (
+            SELECT ending, count(*) AS n, sum(wrong)::BIGINT AS n_wrong FROM e
+            GROUP BY 1 HAVING sum(wrong) >= 3),
+        x AS (
+            SELECT substr(ending, 2) AS ending, max(n_wrong) AS most FROM c
+            WHERE length(ending) > 1 GROUP BY 1)
+        SELECT ending, n, n_wrong, round(n_wrong / n, 6) AS share, '{ADD_PAIRS}' AS action
+        FROM c LEFT JOIN x USING (ending) WHERE coalesce(most, 0) < n_wrong"""
+    sql["training_store"] = sql["training_union"]
+    sql["fit_residual"] = "SELECT 0 AS feature, 0.0::DOUBLE AS residual WHERE false"
+    sql["selection_gap"] = "SELECT 0 AS step WHERE false"
     return sql

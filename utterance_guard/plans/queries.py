@@ -39,6 +39,7 @@ from utterance_guard.sources.files import (
     read_utterances,
     spread_rows,
 )
+from utterance_guard.sources.store import merge_texts, read_store
 from utterance_guard.streaming import alerts as speech
 from utterance_guard.streaming import episodes
 
@@ -674,6 +675,44 @@ def history_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def mined_endings(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(review.mined_endings(judged(spark, folder)), "share")
+
+
+def training_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents and their augmented copies merged into a stored set, the copies twice."""
+    path = f"{shared_folder(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    rows = cut_lineage(
+        curate.clean_labelled(labelled(spark, folder)).select("row_id", "text", "label")
+    )
+    merge_texts(rows, path)
+    copies = curate.augment(rows).select(*rows.columns)
+    for _ in range(2):
+        merge_texts(copies, path)
+    return read_store(spark, path, rows.schema).select(*rows.columns)
+
+
+def fit_residual(spark: SparkSession, folder: str) -> DataFrame:
+    """Features whose weight a fit that ran to its end has not settled: none."""
+    rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
+    train = cut_lineage(learn.with_tokens(rows.filter(F.col("side") == curate.TRAIN)))
+    settings = learn.Settings(rounds=fixed.ROUNDS_TO_THE_END)
+    left = learn.fit_residual(learn.fit(train, SEED, settings), train, SEED, settings)
+    return left.filter(F.abs("residual") > fixed.SETTLED)
+
+
+def selection_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Candidates are fitted in turn; a row if the one that was kept is not the one that their
+    scores name."""
+    rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
+    rows = cut_lineage(rows)
+    sides = [rows.filter(F.col("side") == s).drop("side") for s in (curate.TRAIN, curate.EVAL)]
+    _, kept, scores = learn.select_best(*sides, SEED)
+    rounds = spark.createDataFrame(list(enumerate(scores)), "step int, f1 double")
+    named = metrics.best_candidate(rounds).select("step")
+    return named.filter(F.col("step") != learn.CANDIDATES.index(kept))
+
+
 QUERIES: tuple[Query, ...] = (
     utterances_clean, text_normalized, punctuation_free, keyword_alerts, token_truncate,
     blocklist_hits, blocklist_two_sources, blocklist_hits_large,
@@ -687,7 +726,7 @@ QUERIES: tuple[Query, ...] = (
     stream_alerts, alert_episodes, daily_verdicts,
     train_eval, multi_seed, training_rows, export_gap, tokens_bigram, member_scores_bigram,
     outside_scores, alerts_with_failures, latest_transcripts, episode_signals, utterance_lines,
-    split_texts, history_runs,
+    split_texts, history_runs, mined_endings, training_store, fit_residual, selection_gap,
 )
 
 
