@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from utterance_guard.operators import learn
-from utterance_guard.operators.review import mined_endings
+from utterance_guard.operators.review import chi_squared_tail, mined_endings, new_areas
 from utterance_guard.sources.store import merge_texts, read_store
 
 ROWS = "row_id long, text string, label int"
@@ -133,3 +135,28 @@ def test_a_finished_fit_has_none_left(spark, training):
     settings = learn.Settings(rounds=300, features=64)
     left = learn.fit_residual(learn.fit(training, 42, settings), training, 42, settings)
     assert left.filter("abs(residual) > 1e-6").count() == 0
+
+
+def test_new_areas(spark):
+    rng = random.Random(3)
+    words = [a + b for a in "abcdefgh" for b in "ijklmnop"]
+    rows = [(" ".join(rng.choices(words, k=12)), bool(i % 2)) for i in range(400)]
+    rows += [("fresh topic " + words[i % 9], True) for i in range(40)]
+    rows += [("stale topic " + words[i % 9], False) for i in range(40)] + [("fresh", None)]
+    df = spark.createDataFrame(rows, "text string, is_new boolean")
+    found = {r["word"]: r for r in new_areas(df).collect()}
+    assert {w for w, r in found.items() if r["new_area"]} == {"fresh"}
+    assert found["stale"]["ratio"] > 20 and (found["fresh"]["n_new"], found["fresh"]["n_old"]) == (40, 0)
+    c = d = 240
+    gain = 40 * math.log(2) + 200 * math.log(200 / 220) + 240 * math.log(240 / 220)
+    assert abs(found["fresh"]["ratio"] - 2 * gain) < 1e-5 and c == d
+    one = new_areas(df.filter("is_new")).collect()
+    assert one and not any(r["new_area"] or r["ratio"] for r in one)
+    assert new_areas(df.limit(0)).count() == 0
+
+
+def test_tail(spark):
+    xs = [0.0, 0.1, 1.0, 3.841, 6.635, 10.83, 20.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").coalesce(1)
+    for x, p in df.select("x", chi_squared_tail(F.col("x"))).collect():
+        assert abs(p - math.erfc(math.sqrt(x / 2))) < 2e-7

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from utterance_guard.functions.text import normalize, strip, tokens
 from utterance_guard.operators.metrics import ratio
+from utterance_guard.session import cut_lineage
 
 # The rules of thumb for acting on errors.
 QUEUE_READY = 20
@@ -85,6 +87,78 @@ def mined_endings(
     )
 
 
+# An approximation of erfc by Abramowitz and Stegun, 7.1.26. It is a little too
+# large far out, which makes the test a little too strict there.
+ERFC_T, ERFC = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def chi_squared_tail(x: Column) -> Column:
+    """The chance of a chi-squared value (one degree of freedom) above ``x``."""
+    t = 1 / (1 + ERFC_T * F.sqrt(x / 2))
+    total = F.lit(0.0)
+    for factor in reversed(ERFC):
+        total = (total + factor) * t
+    return total * F.exp(-x / 2)
+
+
+def log_likelihood_ratio(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Of a among c against b among d: twice the gain in log likelihood by two rates."""
+
+    def part(seen: Column, total: Column, share: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / (total * share))).otherwise(F.lit(0.0))
+
+    share = (a + b) / (c + d)
+    rest = 1 - share
+    return 2 * (part(a, c, share) + part(b, d, share) + part(c - a, c, rest) + part(d - b, d, rest))
+
+
+def new_areas(
+    wrong: DataFrame,
+    is_new: str = "is_new",
+    support: int = 3,
+    false_discoveries: float = 0.05,
+    kind: str = "word",
+) -> DataFrame:
+    """Words that the wrong rows of a new period have more often than those of the period
+    before: ``word, n_new, n_old, ratio, new_area``, for words of at least ``support`` wrong
+    rows.
+
+    Rates are compared by their log-likelihood ratio; the share of false ones among those marked
+    is held by the step-up rule of Benjamini and Hochberg. Its ranks come from a histogram of the
+    ratios in steps of a hundredth, taken at the lower end of each step, so no word list is
+    sorted whole. Rows without a period are left out.
+    """
+    rows = wrong.filter(F.col(is_new).isNotNull()).withColumn("_normal", normalize("text"))
+    total = rows.agg(F.count_if(F.col(is_new)).alias("c"), F.count_if(~F.col(is_new)).alias("d"))
+    c, d = (total.select(n).scalar().cast("double") for n in ("c", "d"))
+    counted = (
+        rows.select(is_new, F.explode(F.array_distinct(tokens("_normal", kind))).alias("word"))
+        .groupBy("word")
+        .agg(F.count_if(F.col(is_new)).alias("n_new"), F.count_if(~F.col(is_new)).alias("n_old"))
+        .filter(F.col("n_new") + F.col("n_old") >= support)
+        .withColumns({"c": c, "d": d})
+    )
+    a, b = F.col("n_new").cast("double"), F.col("n_old").cast("double")
+    one_period = (F.col("c") == 0) | (F.col("d") == 0)
+    ratio_ = F.when(one_period, F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), F.round(log_likelihood_ratio(a, b, F.col("c"), F.col("d")), 6))
+    )
+    tested = cut_lineage(
+        counted.withColumn("ratio", ratio_).withColumn("step", F.floor(F.col("ratio") * 100))
+    )
+    steps = tested.groupBy("step").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.orderBy(F.desc("step")))
+    ranked = steps.withColumns({"upto": upto, "all": F.sum("n").over(W.partitionBy())})
+    chance = chi_squared_tail(F.col("step") / 100)
+    held = ranked.filter(chance <= false_discoveries * F.col("upto") / F.col("all"))
+    cut = held.agg(F.min("step").alias("cut")).scalar()
+    more = F.col("n_new") * F.col("d") > F.col("n_old") * F.col("c")
+    return tested.select(
+        "word", "n_new", "n_old", "ratio",
+        F.coalesce((F.col("step") >= cut) & more, F.lit(False)).alias("new_area"),
+    )
+
+
 def suspect_words(
     judged: DataFrame,
     expected: str = "expected_label",

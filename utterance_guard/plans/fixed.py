@@ -79,6 +79,8 @@ def bigram_scorer(spark: SparkSession) -> WeightScorer:
     return _scorer(spark, PAIRS, "bigram")
 
 
+NEW_YEAR = 1995
+
 #: Enough for a fit to end by itself, and what its gradient may then be.
 ROUNDS_TO_THE_END, SETTLED = 300, 1e-6
 

@@ -6,7 +6,7 @@ from utterance_guard.functions.text import BLANKS, HARASSMENT_LABEL, NONE_LABEL,
 from utterance_guard.operators.cascade import EMPTY_REASON, ERROR_REASON, MODEL_SOURCE
 from utterance_guard.operators.curate import AUGMENT_REASON, EVAL, TRAIN
 from utterance_guard.operators.lexicon import PHRASE_MARKER
-from utterance_guard.operators.review import ADD_PAIRS, WATCH
+from utterance_guard.operators.review import ADD_PAIRS, ERFC, ERFC_T, WATCH
 from utterance_guard.plans import fixed
 
 MEMBERS = list(fixed.BIAS)
@@ -542,4 +542,39 @@ def oracle() -> dict[str, str]:
     sql["training_store"] = sql["training_union"]
     sql["fit_residual"] = "SELECT 0 AS feature, 0.0::DOUBLE AS residual WHERE false"
     sql["selection_gap"] = "SELECT 0 AS step WHERE false"
+    part = "CASE WHEN {0} > 0 THEN {0} * ln({0} / ({1} * {2})) ELSE 0 END"
+    share = "((a + b) / (c + d))"
+    gain = " + ".join(part.format(*x) for x in (
+        ("a", "c", share), ("b", "d", share), ("(c - a)", "c", f"(1 - {share})"),
+        ("(d - b)", "d", f"(1 - {share})")))
+    tail = "0.0"
+    for factor in reversed(ERFC):
+        tail = f"(({tail} + ({factor})) * t)"
+    sql["new_areas"] = f"""WITH {JUDGED}, wrong AS (
+            SELECT row_id, text, year(o_orderdate) >= {fixed.NEW_YEAR} AS is_new
+            FROM judged JOIN orders ON o_orderkey = row_id WHERE expected_label <> predicted),
+        total AS (
+            SELECT (count(*) FILTER (is_new))::DOUBLE AS c,
+                (count(*) FILTER (NOT is_new))::DOUBLE AS d FROM wrong),
+        counted AS (
+            SELECT word, (count(*) FILTER (is_new))::DOUBLE AS a,
+                (count(*) FILTER (NOT is_new))::DOUBLE AS b
+            FROM (SELECT is_new, unnest(list_distinct({WORD_LIST})) AS word FROM wrong)
+            GROUP BY word HAVING count(*) >= 3),
+        tested AS (
+            SELECT *, CASE WHEN c = 0 OR d = 0 THEN 0.0
+                ELSE greatest(0.0, round(2 * ({gain}), 6)) END AS ratio FROM counted, total),
+        stepped AS (SELECT *, floor(ratio * 100) AS step FROM tested),
+        steps AS (
+            SELECT step, count(*) AS n, 1 / (1 + {ERFC_T} * sqrt(step / 200)) AS t
+            FROM stepped GROUP BY step),
+        ranked AS (
+            SELECT *, sum(n) OVER (ORDER BY step DESC) AS upto, sum(n) OVER () AS everything
+            FROM steps),
+        held AS (
+            SELECT min(step) AS cut FROM ranked
+            WHERE {tail} * exp(-step / 200) <= 0.05 * upto / everything)
+        SELECT word, a::BIGINT AS n_new, b::BIGINT AS n_old, ratio,
+            coalesce(step >= cut AND a * d > b * c, false) AS new_area
+        FROM stepped, held"""
     return sql

@@ -713,6 +713,16 @@ def selection_gap(spark: SparkSession, folder: str) -> DataFrame:
     return named.filter(F.col("step") != learn.CANDIDATES.index(kept))
 
 
+def new_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrongly judged documents, dated by the order of the same number, before and after 1995."""
+    dates = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("row_id"),
+        (F.year("o_orderdate") >= fixed.NEW_YEAR).alias("is_new"),
+    )
+    wrong = judged(spark, folder).filter("expected_label != predicted")
+    return review.new_areas(wrong.join(dates, "row_id"))
+
+
 QUERIES: tuple[Query, ...] = (
     utterances_clean, text_normalized, punctuation_free, keyword_alerts, token_truncate,
     blocklist_hits, blocklist_two_sources, blocklist_hits_large,
@@ -727,6 +737,7 @@ QUERIES: tuple[Query, ...] = (
     train_eval, multi_seed, training_rows, export_gap, tokens_bigram, member_scores_bigram,
     outside_scores, alerts_with_failures, latest_transcripts, episode_signals, utterance_lines,
     split_texts, history_runs, mined_endings, training_store, fit_residual, selection_gap,
+    new_areas,
 )
 
 
