@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from utterance_guard.llm import suffix_tree
-from utterance_guard.llm.suffix_tree import BITS, SMOOTHING, Tree, Words, fit, score_texts
+from utterance_guard.llm.suffix_tree import SMOOTHING, TEST, Words, fit, followed, least, score_texts
 
 SCHEMA = "doc_id long, text string, score string, word int"
 
@@ -24,29 +24,87 @@ def held(doc_id):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
-def brute(rows):
-    counts = Counter(t for i, text in rows if not held(i) for t in tokens(text))
-    n, v = sum(counts.values()), len(counts)
-    out = {}
-    for i, text in rows:
-        own = tokens(text)
-        base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in own)
-        old = out.get(i, (0, 0, 0.0))
-        out[i] = (old[0] + len(own), old[1] + sum(counts[t] > 0 for t in own), old[2] + base)
-    return n, out
+class Brute:
+    """Counts, tree and scores by the definition, over all contexts as tuples, oldest first."""
+
+    def __init__(self, rows):
+        texts = [tokens(text) for i, text in rows if not held(i)]
+        self.counts = Counter(t for text in texts for t in text)
+        self.n, self.v = sum(self.counts.values()), len(self.counts)
+        self.named = {t for t, c in self.counts.items() if t and c >= least(self.n)}
+        other = [t for t in self.counts if t and t not in self.named]
+        self.other = sum(self.counts[t] for t in other), len(other)
+        coded = [["<start>", *map(self.symbol, text)] for text in texts]
+        self.root = Counter(s for text in coded for s in text[1:])
+        self.states, level = {}, [()]
+        while level:
+            after = {}
+            for text in coded:
+                for i in range(1, len(text)):
+                    own = self.longest(text[:i])
+                    k = len(own) + 1
+                    if own in level and k <= i:
+                        after.setdefault(tuple(text[i - k : i]), Counter())[text[i]] += 1
+            level = []
+            for context, seen in after.items():
+                total = sum(seen.values())
+                if total >= least(self.n) and self.differs(context, seen, total):
+                    level.append(context)
+            for context in level:
+                kept = {s: c for s, c in after[context].items() if c >= followed(self.n)}
+                self.states[context] = (sum(after[context].values()), kept)
+
+    def symbol(self, token):
+        return token if token in self.named else "<end>" if token == b"" else "<other>"
+
+    def longest(self, before):
+        k = 0
+        while k < len(before) and tuple(before[len(before) - k - 1 :]) in self.states:
+            k += 1
+        return tuple(before[len(before) - k :])
+
+    def chance(self, context, symbol):
+        if not context:
+            return (self.root[symbol] + 1) / (sum(self.root.values()) + len(self.named) + 2)
+        total, kept = self.states[context]
+        left = (total - sum(kept.values()) + SMOOTHING) / (total + SMOOTHING)
+        return kept.get(symbol, 0) / (total + SMOOTHING) + left * self.chance(context[1:], symbol)
+
+    def differs(self, context, seen, total):
+        kept = {s: c for s, c in seen.items() if c >= followed(self.n)}
+        chance = {s: self.chance(context[1:], s) for s in kept}
+        gain = sum(c * math.log(c / (total * chance[s])) for s, c in kept.items())
+        if rest := total - sum(kept.values()):
+            gain += rest * math.log(rest / max(total - total * sum(chance.values()), 1e-9))
+        freedom = max(len(kept), 1)
+        c = 2 / (9 * freedom)
+        return (max(2 * gain / freedom, 0) ** (1 / 3) - (1 - c)) / math.sqrt(c) > TEST
+
+    def judged(self, text):
+        own, before, score = tokens(text), ["<start>"], 0.0
+        for t in own:
+            score += math.log10(self.chance(self.longest(before), self.symbol(t)))
+            before.append(self.symbol(t))
+            if before[-1] == "<other>":
+                count, kinds = self.other
+                score += math.log10((self.counts[t] + 0.1) / (count + 0.1 * (kinds + 1)))
+        mass = self.n + 0.1 * (self.v + 1)
+        base = sum(math.log10((self.counts[t] + 0.1) / mass) for t in own)
+        return len(own), sum(self.counts[t] > 0 for t in own), self.n, base, score
 
 
 def check(spark, rows):
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], SCHEMA).repartition(3)
     model = fit(docs)
     found = score_texts(docs, model).collect()
-    n, wanted = brute(rows)
-    assert {r["doc_id"] for r in found} == set(wanted) and len(found) == len(wanted)
-    for r in found:
-        w = wanted[r["doc_id"]]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (*w[:2], n)
-        assert r["base_score"] == pytest.approx(w[2], rel=1e-9) and r["held_out"] == held(r["doc_id"])
-        assert r["score"] < 0
+    brute = Brute(rows)
+    assert len(model.tree.suffix) == len(brute.states) + 1
+    whole = lambda values: (str(values[0]), *values[1:4], *(round(v, 6) for v in values[4:]))
+    names = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    wanted = sorted(whole((i, *brute.judged(text))) for i, text in rows)
+    for got, want in zip(sorted(whole([r[c] for c in names]) for r in found), wanted, strict=True):
+        assert got[:4] == want[:4] and got[4:] == pytest.approx(want[4:], rel=1e-7)
+    assert all(r["held_out"] == held(r["doc_id"]) and r["score"] < 0 for r in found)
     return model, found
 
 
@@ -63,8 +121,9 @@ def test_scores(spark):
     rows = [(i, prose(rng, rng.randrange(10, 90))) for i in range(400)]
     rows += [(1000, None), (1001, ""), (None, "C1 c2"), (None, "c3"), (7, "again é\x85x"), (7, " \t")]
     rows += [(2000, "c1 c2 " * 8000), (3000, "unheard of words")]
+    rows += [(7, "again é\x85x"), (None, "c3"), (2000, "c5")]  # a row for each
     model, found = check(spark, rows)
-    assert len(model.tree.states[0]) >= 20
+    assert (model.tree.depth == 1).sum() >= 20
     out = [r for r in found if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 100
 
@@ -81,70 +140,55 @@ def test_empty(spark):
     assert found[0]["n_known"] == 0
 
 
-def naive(symbols, rows, start):
-    """Chances by the definition, from all counts."""
-    counts = [Counter() for _ in range(4)]
-    for row in rows:
-        padded = [start] * 3 + row
-        for i in range(3, len(padded)):
-            for k in range(4):
-                counts[k][tuple(padded[i - k : i + 1])] += 1
-    return counts
+def test_depth_is_set_by_the_test(spark):
+    """What follows the fifth word before, and no word between, makes states of five symbols."""
+    rng, rows = random.Random(5), []
+    for i in range(300):
+        head = rng.choice("ab")
+        rows.append((i, " ".join(f"{head} x x x x {head.upper()}1" for _ in range(6))))
+    model, _ = check(spark, rows)
+    assert model.tree.depth.max() >= 5
+
+
+def test_states_grow_with_the_corpus(spark):
+    def states(n):
+        rng, rows = random.Random(3), []
+        for i in range(n):
+            at = [min(int(rng.paretovariate(0.9)), 3000) for _ in range(60)]
+            rows.append((i, " ".join(f"w{a} v{a}" for a in at)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return len(fit(docs).tree.suffix)
+
+    few, more, most = states(100), states(400), states(1600)
+    assert few * 1.3 < more and more * 1.3 < most
 
 
-def test_tree_is_a_distribution_and_follows_the_definition():
+def test_many_copies_of_a_row_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "COPIES", 3)
+    rows = spark.createDataFrame([(1, 7), (2, 3), (3, 1)], "doc_id long, copies long")
+    got = Counter(r["doc_id"] for r in suffix_tree.copied(rows).collect())
+    assert got == {1: 7, 2: 3, 3: 1}
+
+
+def test_chances_after_a_state_sum_to_one(spark):
     rng = random.Random(2)
-    words = Words(0, 0, symbols=6)
-    rows = []
-    for _ in range(300):
-        row = [0]
-        for _ in range(20):
-            row.append((row[-1] + 2) % 6 if rng.random() < 0.4 else rng.randrange(6))
-        rows.append(row)
-    counts = naive(6, rows, words.start)
-    number = lambda gram: sum(s << BITS * i for i, s in enumerate(reversed(gram)))
-    pairs = lambda c: tuple(np.array(x, t) for x, t in zip(zip(*sorted(c)), (np.int64, float)))
-    frequent = [pairs([(number(g), n) for g, n in c.items() if n >= 4]) for c in counts]
-    totals = []
-    for c in counts:
-        by = Counter()
-        for g, n in c.items():
-            by[number(g) >> BITS] += n
-        totals.append(pairs([x for x in by.items() if x[1] >= 32]))
-    tree = Tree.grow(6, frequent, totals)
-    assert len(tree.states[0]) >= 6
-    for k, states in enumerate(tree.states[1:], 2):
-        shorter = set(tree.states[k - 2].tolist())
-        assert all(s & ((1 << BITS * (k - 1)) - 1) in shorter for s in states.tolist())
-
-    def chance(context, symbol):
-        if not context:
-            return (counts[0][(symbol,)] + 1) / (sum(counts[0].values()) + 6)
-        k = len(context)
-        if number(context) not in set(tree.states[k - 1].tolist()):
-            return chance(context[1:], symbol)
-        stored = {g[-1]: n for g, n in counts[k].items() if g[:-1] == context and n >= 4}
-        total = sum(n for g, n in counts[k].items() if g[:-1] == context)
-        left = (total - sum(stored.values()) + SMOOTHING) / (total + SMOOTHING)
-        return stored.get(symbol, 0) / (total + SMOOTHING) + left * chance(context[1:], symbol)
-
-    for context in [(0, 2, 4), (1, 1, 1), (6, 6, 6), (6, 6, 0), (5, 1, 3), (3, 0, 0)]:
-        grams = np.array([number((*context, s)) for s in range(6)])
-        p = 10 ** tree.score(grams)
+    docs = spark.createDataFrame([(i, prose(rng, 60)) for i in range(200)], "doc_id long, text string")
+    model = fit(docs)
+    for node in range(len(model.tree.suffix)):
+        p = 10 ** model.tree.chance(np.full(model.words.symbols, node), np.arange(model.words.symbols))
         assert p.sum() == pytest.approx(1)
-        assert p == pytest.approx([chance(context, s) for s in range(6)])
 
 
 def test_other_words_share_their_symbol():
-    common = [(b"the", 50), (b"of", 2), (b"", 10)]
+    common = [(b"the", 50), (b"of", 20), (b"by", 2), (b"", 10)]
     words = Words.of(100, 30, common)
-    assert words.symbols == 4 and suffix_tree.SYMBOL * 100 <= 2
-    assert words.symbols_of(words.ranks([b"of", b"x", b"the"])).tolist() == [3, 0, 2, 1]
-    assert words.other_tokens == 38 and words.other_kinds == 27
+    assert words.symbols == 4 and 2 < least(100) < 20
+    assert words.symbols_of(words.ranks([b"of", b"x", b"by", b"the"])).tolist() == [4, 3, 0, 0, 2, 1]
+    assert words.other_tokens == 20 and words.other_kinds == 27
 
 
 def test_rows_of_texts_do_not_share_a_key_of_the_join(spark):
-    row = lambda i, word, times: (i, False, word, times, 3, 1, -1.0, -1.0)
+    row = lambda i, word, times: (i, 5, False, word, times, 3, 1, -1.0, -1.0)
     parts = [row(i, b"", 0) for i in range(50)] + [row(i, b"rare", 2) for i in range(3)]
     keyed = suffix_tree.scored_keys(spark.createDataFrame(parts, suffix_tree.SCORED)).collect()
     ends = {bytes(r["word"]) for r in keyed if not r["times"]}

@@ -1,22 +1,27 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Symbols are the frequent words, the end of a text, and one symbol for all other words. A context
-is the last one to three symbols. It becomes a state if it is frequent enough to be judged and a
-likelihood-ratio test finds that the symbols after it are spread differently than after its
-suffix; suffixes of states are states. What follows a state is its own counts, smoothed by the
-distribution of its suffix. A symbol is scored in the longest state that the text before it ends
-with. A word behind the symbol for all others is given by its own count among them, smoothed by
-a tenth of an occurrence, with as much left for words never seen.
-
-Word counts grow with the corpus and are never gathered in one place. Words of at least
-``COMMON`` of all tokens, of which there can be only 1 / ``COMMON``, are looked up in a table
-that every task has; so are symbols (at most 1 / ``SYMBOL`` of them), states (at most three
-times 1 / ``STATE``) and their following symbols (at most three times 1 / ``FOLLOWED``). All
-other words are looked up by a join; none of them makes up more than ``COMMON`` of the rows.
-
-Defined results: a null text is an empty one, which is one end. Rows that share a doc_id, or
-have none, are scored as one document: their numbers are sums. A null doc_id counts as the empty
-text for the split. Without training rows no token is known. Other columns are not read.
+Symbols are the words seen often enough, the end of a text, and one symbol for all other words.
+The tree grows level by level from the empty context. Every state of the last level is extended by
+the symbol before it; an extension becomes a state if it is seen often enough to be judged and a
+likelihood-ratio test finds that the symbols after it are spread differently than after the state
+it extends. Growth ends where no extension passes, so the test alone sets the depth. What follows
+a state is its own counts, smoothed by the distribution of its suffix. A symbol is scored in the
+longest state that the text before it ends with. A word behind the symbol for all others is given
+by its own count among them, smoothed by a tenth of an occurrence, with as much left for words
+never seen.
+
+"Often enough" is ``least`` = 8 + sqrt(N) / 16 occurrences in N training tokens, at every size.
+So symbols, and states of a level, grow with the corpus, but there are at most N / least, under
+16 sqrt(N), of each (of following symbols kept with a state: eight times as many): a table that
+every task can have, while the corpus itself is never gathered. Counts of words and of extensions
+are Spark tables. Words of at least ``COMMON`` of all tokens are looked up by every task as well;
+all other words by a join, in which none makes up more than ``COMMON`` of the rows.
+
+Defined results: a null text is an empty one, which is one end; a text may be as long as a row can
+be. There is one row for each row, also for those that share a doc_id, or text, or have no
+doc_id, which counts as the empty text for the split. (Rows are told apart by doc_id and a 64-bit
+hash of the text; equal ones have equal results.) Without training rows no token is known. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,18 +40,25 @@ from utterance_guard.llm.common import LOWER, small_batches, text_bytes, written
 
 FOLDS = 10
 ADD = 0.1
-DEPTH = 3
-BITS = 16
 COMMON = 1e-5
-SYMBOL = 1e-3
-STATE, LEAST_STATE = 1e-5, 32
-FOLLOWED, LEAST_FOLLOWED = 1e-6, 4
 #: Normal deviate of the likelihood-ratio test, about one in ten thousand.
 TEST = 3.72
 SMOOTHING = 20.0
 OTHER = 0
 END = b""
 FLUSH = 1 << 20
+#: Copies of a row that are written out at a time.
+COPIES = 1 << 16
+
+
+def least(tokens: int) -> float:
+    """Occurrences from which a word is a symbol and a context can be a state."""
+    return 8 + math.sqrt(tokens) / 16
+
+
+def followed(tokens: int) -> float:
+    """Occurrences from which a symbol after a state is kept with it."""
+    return least(tokens) / 8
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -86,6 +98,7 @@ class Words:
     #: Symbol by rank, and the logarithm of the word's share of its symbol.
     symbol: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     within: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0))
     end: int = 1
     symbols: int = 2
     end_count: int = 0
@@ -100,8 +113,8 @@ class Words:
         common = [wc for wc in common if wc[0] != END]
         own = cls(tokens, kinds, end_count=ends)
         own.rank = {w: i for i, (w, _) in enumerate(common)}
-        count = np.array([c for _, c in common], np.float64)
-        named = count >= SYMBOL * tokens
+        own.count = count = np.array([c for _, c in common], np.float64)
+        named = count >= least(tokens)
         own.symbol = np.where(named, np.arange(len(count)) + 2, OTHER)
         own.symbols = 2 + int(named.sum())
         own.other_tokens = tokens - ends - int(count[named].sum())
@@ -120,57 +133,68 @@ class Words:
 
     @property
     def start(self) -> int:
-        return self.symbols  # pads the context before a text
+        return self.symbols  # stands before a text
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         get = self.rank.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
     def symbols_of(self, ranks: np.ndarray) -> np.ndarray:
-        """Symbols of a text's words and of its end."""
-        out = np.empty(len(ranks) + 1, np.int64)
-        out[:-1] = np.where(ranks >= 0, self.symbol[ranks], OTHER) if len(self.symbol) else OTHER
-        out[-1] = self.end
+        """The start, the symbols of a text's words, and its end."""
+        out = np.empty(len(ranks) + 2, np.int64)
+        out[0], out[-1] = self.start, self.end
+        out[1:-1] = np.where(ranks >= 0, self.symbol[ranks], OTHER) if len(self.symbol) else OTHER
         return out
 
-    def grams(self, symbols: np.ndarray) -> np.ndarray:
-        """Each symbol with the three before it, in one number."""
-        padded = np.concatenate((np.full(DEPTH, self.start), symbols))
-        out = np.zeros(len(symbols), np.int64)
-        for i in range(DEPTH + 1):
-            out = out << BITS | padded[i : i + len(symbols)]
-        return out
 
+def encoder(shared):
+    """Texts as symbols, four bytes each."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        for batch in batches:
+            rows = (words.ranks(t.translate(LOWER).split()) for t in batch.column("text").to_pylist())
+            coded = [words.symbols_of(r).astype("<i4").tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["symbols"])
+
+    return encode
+
+
+def extension_counter(shared_tree, level: int):
+    """How often each symbol follows each extension of a state of the level before."""
 
-def gram_counter(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = shared.value, [], 0
+        tree, held, n = shared_tree.value, [], 0
 
         def part() -> pa.RecordBatch:
-            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            context, symbol = (np.concatenate(x) for x in zip(*held))
+            context, own = np.unique(context, return_inverse=True)
+            pair, times = np.unique(own << 32 | symbol, return_counts=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array(gram), pa.array(times.astype(np.int64))], names=["gram", "n"]
+                [
+                    pa.array(context[pair >> 32]),
+                    pa.array((pair & LOW).astype(np.int32)),
+                    pa.array(times.astype(np.int64)),
+                ],
+                names=["context", "symbol", "n"],
             )
 
         for batch in batches:
-            for data in batch.column("text").to_pylist():
-                ranks = words.ranks(data.translate(LOWER).split())
-                held.append(words.grams(words.symbols_of(ranks)))
-                n += len(held[-1])
-            if n > 4 * FLUSH:
-                yield part()
-                held, n = [], 0
-        if held:
+            for data in batch.column("symbols").to_pylist():
+                flat = np.frombuffer(data, "<i4").astype(np.int64)
+                node, before = tree.longest(flat)
+                at = np.flatnonzero((tree.depth[node] == level - 1) & (before >= 0))
+                held.append((node[at] << 32 | flat[before[at]], flat[at]))
+                n += len(at)
+                if n > 4 * FLUSH:
+                    yield part()
+                    held, n = [], 0
+        if n:
             yield part()
 
     return count
 
 
-def of_order(gram: np.ndarray, order: int) -> np.ndarray:
-    """The last symbol with the ``order`` before it."""
-    return gram if order == DEPTH else gram & np.int64((1 << BITS * (order + 1)) - 1)
-
-
 def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of ``keys`` in a sorted table, -1 where absent."""
     if not len(table):
@@ -179,91 +203,108 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+LOW = np.int64((1 << 32) - 1)
+
+
 @dataclass
 class Tree:
-    """States and what follows them, by order."""
+    """States by number, the empty context first, and what follows them."""
 
     root: np.ndarray  # log10 chances of symbols
-    states: list[np.ndarray]  # contexts, sorted
-    left: list[np.ndarray]  # log10 of what a state leaves to its suffix
-    follows: list[np.ndarray]  # context and symbol, sorted
-    chances: list[np.ndarray]  # log10, smoothing included
+    start: int
+    #: By state: the state without its oldest symbol, its length, log10 of what is left to the former.
+    suffix: np.ndarray
+    depth: np.ndarray
+    left: np.ndarray
+    #: State and the symbol before it, sorted; the state they make.
+    edges: np.ndarray
+    child: np.ndarray
+    #: State and following symbol, sorted; log10 of the chance, smoothing included.
+    follows: np.ndarray
+    chances: np.ndarray
 
     @classmethod
-    def grow(cls, symbols: int, counts: list[tuple[np.ndarray, np.ndarray]], totals) -> Tree:
-        """``counts[k]``: sorted context-and-symbol numbers of order k with their counts, those
-        frequent enough. ``totals[k]``: the same for contexts alone, with all their counts."""
-        gram, n = counts[0]
-        seen = np.zeros(symbols)
-        seen[gram] = n
-        root = np.log10((seen + 1) / (seen.sum() + symbols))
-        tree = cls(root, [], [], [], [])
-        parts, kept = [], []
-        for order in range(1, len(counts)):
-            parts.append(tree._judge(order, counts[order], totals[order]))
-            state, test, *_ = parts[-1]
-            kept.append(state[test])
-            # the next order is tested against the distribution of every frequent suffix
-            tree._add(order, parts[-1], np.ones(len(state), bool))
-        # suffixes of states are states
-        for order in range(len(kept) - 1, 0, -1):
-            shorter = np.unique(kept[order] & np.int64((1 << BITS * order) - 1))
-            kept[order - 1] = np.union1d(kept[order - 1], shorter)
-        final = cls(root, [], [], [], [])
-        for order, (part, keep) in enumerate(zip(parts, kept), 1):
-            final._add(order, part, np.isin(part[0], keep))
-        return final
-
-    def _judge(self, order: int, counts, totals):
-        gram, n = counts
-        state, total = totals
-        own = find(state, gram >> BITS)
-        gram, n, own = gram[own >= 0], n[own >= 0], own[own >= 0]
-        expected = total[own] * 10 ** self.score(of_order(gram, order - 1), order - 1)
-        gain = np.bincount(own, n * np.log(n / expected), len(state)).astype(np.float64)
-        inside = np.bincount(own, n, len(state))
-        rest = total - inside
-        left = np.maximum(total - np.bincount(own, expected, len(state)), 1e-9)
+    def empty(cls, seen: np.ndarray) -> Tree:
+        """The tree without contexts, from the counts of the symbols."""
+        root = np.log10((seen + 1) / (seen.sum() + len(seen)))
+        none, zero = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return cls(root, len(seen), zero, zero, np.zeros(1), none, none, none, np.zeros(0))
+
+    def longest(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each symbol of texts that each begin with the start: the longest state before it,
+        and the place before that state, -1 where the text has none."""
+        node = np.zeros(len(flat), np.int64)
+        before = np.arange(len(flat)) - 1
+        go = np.flatnonzero(flat != self.start)
+        before[flat == self.start] = -1
+        while go.size and len(self.edges):
+            at = find(self.edges, node[go] << 32 | flat[before[go]])
+            go, at = go[at >= 0], at[at >= 0]
+            node[go] = self.child[at]
+            first = flat[before[go]] == self.start
+            before[go] = np.where(first, -1, before[go] - 1)
+            go = go[~first]
+        return node, before
+
+    def chance(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 of the symbols' chances in states."""
+        out, todo, node = np.zeros(len(node)), np.arange(len(node)), node.copy()
+        while todo.size:
+            here = node[todo]
+            there = find(self.follows, here << 32 | symbol[todo])
+            kept = (there >= 0) & (here > 0)
+            out[todo[kept]] += self.chances[there[kept]]
+            out[todo[here == 0]] += self.root[symbol[todo[here == 0]]]
+            todo = todo[~kept & (here > 0)]
+            out[todo] += self.left[node[todo]]
+            node[todo] = self.suffix[node[todo]]
+        return out
+
+    def extended(self, contexts, totals, pairs) -> Tree:
+        """With those extensions as states that pass the test. ``contexts``: sorted, state and
+        symbol before it; ``totals``: how often each occurs; ``pairs``: contexts, following
+        symbols and counts, of those kept."""
+        context, symbol, n = pairs
+        own = find(contexts, context)
+        symbol, n, own = symbol[own >= 0], n[own >= 0], own[own >= 0]
+        shorter = 10 ** self.chance(contexts[own] >> 32, symbol)
+        expected = totals[own] * shorter
+        size = len(contexts)
+        gain = np.bincount(own, n * np.log(n / expected), size).astype(np.float64)
+        rest = totals - np.bincount(own, n, size)
+        left = np.maximum(totals - np.bincount(own, expected, size), 1e-9)
         gain += np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-9) / left), 0)
-        freedom = np.maximum(np.bincount(own, minlength=len(state)), 1)
+        freedom = np.maximum(np.bincount(own, minlength=size), 1)
         c = 2 / (9 * freedom)
         deviate = (np.maximum(2 * gain / freedom, 0) ** (1 / 3) - (1 - c)) / np.sqrt(c)
-        return state, deviate > TEST, total, gram, n, own, rest
+        passed = deviate > TEST
 
-    def _add(self, order: int, part, keep: np.ndarray) -> None:
-        state, _, total, gram, n, own, rest = part
-        mine = keep[own]
-        gram, n, own = gram[mine], n[mine], own[mine]
-        whole = total + SMOOTHING
+        whole = totals + SMOOTHING
         left = (rest + SMOOTHING) / whole
-        shorter = 10 ** self.score(of_order(gram, order - 1), order - 1)
-        chance = n / whole[own] + left[own] * shorter
-        self.states.append(state[keep])
-        self.left.append(np.log10(left[keep]))
-        self.follows.append(gram)
-        self.chances.append(np.log10(chance))
-
-    def score(self, gram: np.ndarray, order: int | None = None) -> np.ndarray:
-        """log10 of the last symbol's chance in the longest state before it."""
-        out = np.zeros(len(gram))
-        todo, begun = np.arange(len(gram)), np.zeros(len(gram), bool)
-        top = len(self.states) if order is None else order
-        for k in range(top, 0, -1):
-            part = of_order(gram[todo], k)
-            at = find(self.states[k - 1], part >> BITS)
-            state = at >= 0
-            there = find(self.follows[k - 1], part)
-            ends = state & (there >= 0)
-            out[todo[ends]] += self.chances[k - 1][there[ends]]
-            passed = state & ~ends
-            out[todo[passed]] += self.left[k - 1][at[passed]]
-            todo = todo[~ends]
-        out[todo] += self.root[of_order(gram[todo], 0)]
-        return out
+        number = np.cumsum(passed) - 1 + len(self.suffix)
+        mine = passed[own]
+        chance = n[mine] / whole[own[mine]] + left[own[mine]] * shorter[mine]
+        edges = np.concatenate((self.edges, contexts[passed]))
+        child = np.concatenate((self.child, number[passed]))
+        follows = np.concatenate((self.follows, number[own[mine]] << 32 | symbol[mine]))
+        chances = np.concatenate((self.chances, np.log10(chance)))
+        by_edge, by_follow = np.argsort(edges), np.argsort(follows)
+        parent = contexts[passed] >> 32
+        return Tree(
+            self.root,
+            self.start,
+            np.concatenate((self.suffix, parent)),
+            np.concatenate((self.depth, self.depth[parent] + 1)),
+            np.concatenate((self.left, np.log10(left[passed]))),
+            edges[by_edge],
+            child[by_edge],
+            follows[by_follow],
+            chances[by_follow],
+        )
 
 
 SCORED = (
-    "doc_id long, held_out boolean, word binary, times long, "
+    "doc_id long, text_key long, held_out boolean, word binary, times long, "
     "n_tokens long, n_known long, base double, score double"
 )
 
@@ -277,7 +318,7 @@ def scorer(shared_words, shared_tree):
         end = math.log10((words.end_count + ADD) / words.all_mass)
         for batch in batches:
             # per text: its row, then rows of rare words
-            owner, rare, times, base, known, within, size, grams = ([] for _ in range(8))
+            owner, rare, times, base, known, within, size, coded = ([] for _ in range(8))
             for i, data in enumerate(batch.column("text").to_pylist()):
                 own = data.translate(LOWER).split()
                 ranks = words.ranks(own)
@@ -286,22 +327,27 @@ def scorer(shared_words, shared_tree):
                 within.append(float(words.within[common].sum()))
                 known.append(len(common) + (words.end_count > 0))
                 size.append(len(own) + 1)
-                grams.append(words.grams(words.symbols_of(ranks)))
+                coded.append(words.symbols_of(ranks))
                 other = Counter(own[j] for j in np.flatnonzero(ranks < 0).tolist())
                 owner += [i] * (len(other) + 1)
                 rare += [END, *other]
                 times += [0, *other.values()]
             if not size:
                 continue
-            gram, back = np.unique(np.concatenate(grams), return_inverse=True)
+            flat = np.concatenate(coded)
+            inside = flat != words.start
+            node = tree.longest(flat)[0][inside]
+            pair, back = np.unique(node << 32 | flat[inside], return_inverse=True)
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            total = np.add.reduceat(tree.score(gram)[back], begin) + np.array(within)
+            chance = tree.chance(pair >> 32, pair & LOW)[back]
+            total = np.add.reduceat(chance, begin) + np.array(within)
             owner, first = np.array(owner), np.array(times) == 0
             fill = lambda values: np.where(first, np.array(values)[owner], 0)
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(take),
+                    batch.column("text_key").take(take),
                     batch.column("held_out").take(take),
                     pa.array(rare, pa.binary()),
                     pa.array(times, pa.int64()),
@@ -335,41 +381,58 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
         "lm-words",
     )
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.filter((F.col("n") >= COMMON * size[0]) | (F.octet_length("word") == 0))
+    common = counts.filter(~is_rare(size[0]))
     words = Words.of(size[0], size[1], [(bytes(r[0]), r[1]) for r in common.collect()])
+    return Model(words, grow(training, words), counts)
 
-    shared = spark.sparkContext.broadcast(words)
-    grams = written(
-        training.mapInArrow(gram_counter(shared), "gram long, n long")
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n")),
-        "lm-grams",
+
+def is_rare(tokens: int) -> Column:
+    """Words of ``counts`` that are joined."""
+    return (F.col("n") < min(COMMON * tokens, least(tokens))) & (F.octet_length("word") > 0)
+
+
+def grow(training: DataFrame, words: Words) -> Tree:
+    """The tree of the texts, a pass over their symbols for each level."""
+    context = training.sparkSession.sparkContext
+    coded = written(
+        training.mapInArrow(encoder(context.broadcast(words)), "symbols binary"), "lm-symbols"
     )
-    frequent, contexts = [], []
-    for order in range(DEPTH + 1):
-        own = grams
-        if order < DEPTH:
-            last = F.col("gram").bitwiseAND((1 << BITS * (order + 1)) - 1)
-            own = grams.groupBy(last.alias("gram")).agg(F.sum("n").alias("n"))
-        least = max(LEAST_FOLLOWED, FOLLOWED * size[0]) if order else 0
-        frequent.append(sorted_pairs(own.filter(F.col("n") >= least)))
-        total = own.groupBy(F.shiftright("gram", BITS).alias("gram")).agg(F.sum("n").alias("n"))
-        contexts.append(sorted_pairs(total.filter(F.col("n") >= max(LEAST_STATE, STATE * size[0]))))
-    tree = Tree.grow(words.symbols, frequent, contexts)
-    return Model(words, tree, counts)
-
-
-def sorted_pairs(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = counts.toArrow()
-    gram = table.column("gram").to_numpy()
-    order = np.argsort(gram)
-    return gram[order], table.column("n").to_numpy()[order].astype(np.float64)
+    seen = np.zeros(words.symbols)
+    seen[words.end] = words.end_count
+    seen[OTHER] = words.other_tokens
+    seen[words.symbol[words.symbol != OTHER]] = words.count[words.symbol != OTHER]
+    tree, level, states = Tree.empty(seen), 1, 0
+    while len(tree.suffix) > states:
+        states = len(tree.suffix)
+        counts = written(
+            coded.mapInArrow(
+                extension_counter(context.broadcast(tree), level),
+                "context long, symbol int, n long",
+            )
+            .groupBy("context", "symbol")
+            .agg(F.sum("n").alias("n")),
+            "lm-extensions",
+        )
+        totals = counts.groupBy("context").agg(F.sum("n").alias("n"))
+        totals = totals.filter(F.col("n") >= least(words.tokens)).orderBy("context").toArrow()
+        pairs = counts.filter(F.col("n") >= followed(words.tokens)).toArrow()
+        tree = tree.extended(
+            totals["context"].to_numpy(),
+            totals["n"].to_numpy().astype(np.float64),
+            (
+                pairs["context"].to_numpy(),
+                pairs["symbol"].to_numpy().astype(np.int64),
+                pairs["n"].to_numpy().astype(np.float64),
+            ),
+        )
+        level += 1
+    return tree
 
 
 def scored_keys(parts: DataFrame) -> DataFrame:
     """The row of each text itself matches no word; a key of its own, with a blank that no word
     has, spreads these rows over the join's partitions."""
-    own = F.concat(F.lit(" "), F.xxhash64("doc_id", "n_tokens", "base")).cast("binary")
+    own = F.concat(F.lit(" "), F.xxhash64("doc_id", "text_key")).cast("binary")
     return parts.withColumn("word", F.when(F.col("times") > 0, F.col("word")).otherwise(own))
 
 
@@ -379,10 +442,10 @@ def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     parts = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         held_out(doc_id).alias("held_out"),
+        F.xxhash64(text_bytes(text)).alias("text_key"),
         text_bytes(text).alias("text"),
     ).mapInArrow(scorer(context.broadcast(words), context.broadcast(model.tree)), SCORED)
-    rare = model.counts.filter((F.col("n") < COMMON * words.tokens) & (F.octet_length("word") > 0))
-    rare = rare.select("word", F.col("n").alias("c"))
+    rare = model.counts.filter(is_rare(words.tokens)).select("word", F.col("n").alias("c"))
     c = F.coalesce("c", F.lit(0))
     is_word = F.col("times") > 0
 
@@ -391,7 +454,9 @@ def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
     joined = scored_keys(parts).join(rare.hint("merge"), "word", "left").select(
         "doc_id",
+        "text_key",
         "held_out",
+        (~is_word).cast("long").alias("copies"),
         "n_tokens",
         F.when(is_word, F.when(c > 0, F.col("times")).otherwise(0))
         .otherwise(F.col("n_known"))
@@ -399,11 +464,24 @@ def score_texts(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
         F.coalesce(share(words.all_mass), "base").alias("base"),
         F.coalesce(share(words.other_mass), "score").alias("score"),
     )
-    return joined.groupBy("doc_id").agg(
+    each = joined.groupBy("doc_id", "text_key").agg(
         F.bool_or("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum("n_known").alias("n_known"),
+        *[F.sum(c).alias(c) for c in ("copies", "n_tokens", "n_known", "base", "score")],
+    )
+    return copied(each).select(
+        "doc_id",
+        "held_out",
+        F.expr("n_tokens div copies").alias("n_tokens"),
+        F.expr("n_known div copies").alias("n_known"),
         F.lit(words.tokens).cast("long").alias("train_tokens"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("score") / F.col("copies")).alias("score"),
     )
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """Each row as many times as ``copies`` says, in blocks of bounded size."""
+    last = F.expr(f"(copies - 1) div {COPIES}")
+    blocks = rows.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    size = F.least(F.lit(COPIES), F.col("copies") - F.col("block") * COPIES).cast("int")
+    return blocks.withColumn("copy", F.explode(F.array_repeat(F.lit(0), size)))
