@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 from utterance_guard.llm import suffix_tree
-from utterance_guard.llm.suffix_tree import SMOOTHING, TEST, Words, fit, followed, least, score_texts
+from utterance_guard.llm.suffix_tree import (
+    DIVERGENCE, SMOOTHING, TEST, Words, fit, followed, least, score_texts,
+)
 
 SCHEMA = "doc_id long, text string, score string, word int"
 
@@ -72,13 +74,17 @@ class Brute:
 
     def differs(self, context, seen, total):
         kept = {s: c for s, c in seen.items() if c >= followed(self.n)}
-        chance = {s: self.chance(context[1:], s) for s in kept}
+        plain = lambda total, kept: {s: c / total for s, c in kept.items()}
+        root = {s: self.chance((), s) for s in kept}
+        chance = plain(*self.states[context[1:]]) if context[1:] else root
+        chance = {s: chance[s] for s in kept}
         gain = sum(c * math.log(c / (total * chance[s])) for s, c in kept.items())
         if rest := total - sum(kept.values()):
             gain += rest * math.log(rest / max(total - total * sum(chance.values()), 1e-9))
         freedom = max(len(kept), 1)
         c = 2 / (9 * freedom)
-        return (max(2 * gain / freedom, 0) ** (1 / 3) - (1 - c)) / math.sqrt(c) > TEST
+        deviate = (max(2 * gain / freedom, 0) ** (1 / 3) - (1 - c)) / math.sqrt(c)
+        return deviate > TEST and gain >= DIVERGENCE * total
 
     def judged(self, text):
         own, before, score = tokens(text), ["<start>"], 0.0

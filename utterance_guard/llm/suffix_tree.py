@@ -2,9 +2,9 @@
 
 Symbols are the words seen often enough, the end of a text, and one symbol for all other words.
 The tree grows level by level from the empty context. Every state of the last level is extended by
-the symbol before it; an extension becomes a state if it is seen often enough to be judged and a
+the symbol before it; an extension becomes a state if it is seen often enough to be judged, a
 likelihood-ratio test finds that the symbols after it are spread differently than after the state
-it extends. Growth ends where no extension passes, so the test alone sets the depth. What follows
+it extends, and the two shares diverge by ``DIVERGENCE`` at least. Growth ends where no extension passes, so the test alone sets the depth. What follows
 a state is its own counts, smoothed by the distribution of its suffix. A symbol is scored in the
 longest state that the text before it ends with. A word behind the symbol for all others is given
 by its own count among them, smoothed by a tenth of an occurrence, with as much left for words
@@ -43,6 +43,8 @@ ADD = 0.1
 COMMON = 1e-5
 #: Normal deviate of the likelihood-ratio test, about one in ten thousand.
 TEST = 3.72
+#: Least divergence of a state from its suffix, in nats a symbol.
+DIVERGENCE = 0.02
 SMOOTHING = 20.0
 OTHER = 0
 END = b""
@@ -219,16 +221,17 @@ class Tree:
     #: State and the symbol before it, sorted; the state they make.
     edges: np.ndarray
     child: np.ndarray
-    #: State and following symbol, sorted; log10 of the chance, smoothing included.
+    #: State and following symbol, sorted; log10 of the chance, smoothing included; plain share.
     follows: np.ndarray
     chances: np.ndarray
+    shares: np.ndarray
 
     @classmethod
     def empty(cls, seen: np.ndarray) -> Tree:
         """The tree without contexts, from the counts of the symbols."""
         root = np.log10((seen + 1) / (seen.sum() + len(seen)))
         none, zero = np.zeros(0, np.int64), np.zeros(1, np.int64)
-        return cls(root, len(seen), zero, zero, np.zeros(1), none, none, none, np.zeros(0))
+        return cls(root, len(seen), zero, zero, np.zeros(1), none, none, none, *np.zeros((2, 0)))
 
     def longest(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each symbol of texts that each begin with the start: the longest state before it,
@@ -268,7 +271,11 @@ class Tree:
         own = find(contexts, context)
         symbol, n, own = symbol[own >= 0], n[own >= 0], own[own >= 0]
         shorter = 10 ** self.chance(contexts[own] >> 32, symbol)
-        expected = totals[own] * shorter
+        # what follows an extension often enough follows the state that it extends so, too
+        expected = totals[own] * (10 ** self.root[symbol])
+        deep = contexts[own] >> 32 > 0
+        at = find(self.follows, contexts[own][deep] >> 32 << 32 | symbol[deep])
+        expected[deep] = totals[own][deep] * self.shares[at]
         size = len(contexts)
         gain = np.bincount(own, n * np.log(n / expected), size).astype(np.float64)
         rest = totals - np.bincount(own, n, size)
@@ -277,7 +284,7 @@ class Tree:
         freedom = np.maximum(np.bincount(own, minlength=size), 1)
         c = 2 / (9 * freedom)
         deviate = (np.maximum(2 * gain / freedom, 0) ** (1 / 3) - (1 - c)) / np.sqrt(c)
-        passed = deviate > TEST
+        passed = (deviate > TEST) & (gain >= DIVERGENCE * totals)
 
         whole = totals + SMOOTHING
         left = (rest + SMOOTHING) / whole
@@ -288,6 +295,7 @@ class Tree:
         child = np.concatenate((self.child, number[passed]))
         follows = np.concatenate((self.follows, number[own[mine]] << 32 | symbol[mine]))
         chances = np.concatenate((self.chances, np.log10(chance)))
+        shares = np.concatenate((self.shares, (n / totals[own])[mine]))
         by_edge, by_follow = np.argsort(edges), np.argsort(follows)
         parent = contexts[passed] >> 32
         return Tree(
@@ -300,6 +308,7 @@ class Tree:
             child[by_edge],
             follows[by_follow],
             chances[by_follow],
+            shares[by_follow],
         )
 
 
