@@ -44,7 +44,7 @@ COMMON = 1e-5
 #: Normal deviate of the likelihood-ratio test, about one in ten thousand.
 TEST = 3.72
 #: Least divergence of a state from its suffix, in nats a symbol.
-DIVERGENCE = 0.02
+DIVERGENCE = 0.01
 SMOOTHING = 20.0
 OTHER = 0
 END = b""
