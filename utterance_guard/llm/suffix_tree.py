@@ -4,11 +4,11 @@ Symbols are the words seen often enough, the end of a text, and one symbol for a
 The tree grows level by level from the empty context. Every state of the last level is extended by
 the symbol before it; an extension becomes a state if it is seen often enough to be judged, a
 likelihood-ratio test finds that the symbols after it are spread differently than after the state
-it extends, and the two shares diverge by ``DIVERGENCE`` at least. Growth ends where no extension passes, so the test alone sets the depth. What follows
-a state is its own counts, smoothed by the distribution of its suffix. A symbol is scored in the
-longest state that the text before it ends with. A word behind the symbol for all others is given
-by its own count among them, smoothed by a tenth of an occurrence, with as much left for words
-never seen.
+it extends, and the two shares diverge by ``DIVERGENCE`` at least. Growth ends where no extension
+passes, so the test alone sets the depth. What follows a state is its own counts, smoothed by the
+distribution of its suffix. A symbol is scored in the longest state that the text before it ends
+with. A word behind the symbol for all others is given by its own count among them, smoothed by a
+tenth of an occurrence, with as much left for words never seen.
 
 "Often enough" is ``least`` = 8 + sqrt(N) / 16 occurrences in N training tokens, at every size.
 So symbols, and states of a level, grow with the corpus, but there are at most N / least, under
@@ -29,14 +29,15 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from utterance_guard.llm.common import LOWER, small_batches, text_bytes, written
+from utterance_guard.llm.common import LOWER, arrow_bytes, small_batches, text_bytes, written
 
 FOLDS = 10
 ADD = 0.1
@@ -162,28 +163,42 @@ def encoder(shared):
     return encode
 
 
+def blocks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts texts, given by where each ends after the first's begin, into blocks of at most
+    ``FLUSH`` symbols, or one longer text."""
+    first = 0
+    while first < len(ends) - 1:
+        last = int(np.searchsorted(ends, ends[first] + FLUSH, "right")) - 1
+        last = max(last, first + 1)
+        yield int(ends[first]), int(ends[last])
+        first = last
+
+
 def extension_counter(shared_tree, level: int):
-    """How often each symbol follows each extension of a state of the level before."""
+    """How often each extension of a state of the level before occurs, under the symbol
+    ``WHOLE``, and how often each symbol follows it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, held, n = shared_tree.value, [], 0
+        tree, held, n = shared_tree.value.towards(level - 1), [], 0
 
         def part() -> pa.RecordBatch:
             context, symbol = (np.concatenate(x) for x in zip(*held))
-            context, own = np.unique(context, return_inverse=True)
+            context, own, total = np.unique(context, return_inverse=True, return_counts=True)
             pair, times = np.unique(own << 32 | symbol, return_counts=True)
+            symbol = np.concatenate((pair & LOW, np.full(len(context), WHOLE)))
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(context[pair >> 32]),
-                    pa.array((pair & LOW).astype(np.int32)),
-                    pa.array(times.astype(np.int64)),
+                    pa.array(np.concatenate((context[pair >> 32], context))),
+                    pa.array(symbol.astype(np.int32)),
+                    pa.array(np.concatenate((times, total)).astype(np.int64)),
                 ],
                 names=["context", "symbol", "n"],
             )
 
         for batch in batches:
-            for data in batch.column("symbols").to_pylist():
-                flat = np.frombuffer(data, "<i4").astype(np.int64)
+            raw, ends = arrow_bytes(batch.column("symbols"))
+            for begin, end in blocks(ends // 4):
+                flat = raw[4 * begin : 4 * end].view("<i4").astype(np.int64)
                 node, before = tree.longest(flat)
                 at = np.flatnonzero((tree.depth[node] == level - 1) & (before >= 0))
                 held.append((node[at] << 32 | flat[before[at]], flat[at]))
@@ -206,6 +221,7 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 LOW = np.int64((1 << 32) - 1)
+WHOLE = -1
 
 
 @dataclass
@@ -238,17 +254,36 @@ class Tree:
         and the place before that state, -1 where the text has none."""
         node = np.zeros(len(flat), np.int64)
         before = np.arange(len(flat)) - 1
-        go = np.flatnonzero(flat != self.start)
-        before[flat == self.start] = -1
-        while go.size and len(self.edges):
+        begins = flat == self.start
+        to = self.first[flat[before]]
+        to[begins], before[begins] = 0, -1
+        go = np.flatnonzero(to)
+        to = to[go]
+        while go.size:
+            node[go] = to
+            whole = flat[before[go]] == self.start
+            before[go] = np.where(whole, -1, before[go] - 1)
+            go = go[~whole]
             at = find(self.edges, node[go] << 32 | flat[before[go]])
-            go, at = go[at >= 0], at[at >= 0]
-            node[go] = self.child[at]
-            first = flat[before[go]] == self.start
-            before[go] = np.where(first, -1, before[go] - 1)
-            go = go[~first]
+            go, to = go[at >= 0], self.child[at[at >= 0]]
         return node, before
 
+    def towards(self, depth: int) -> Tree:
+        """With only the edges on the way to states of that depth, which is the greatest."""
+        bears = self.depth == depth
+        for d in range(depth, 0, -1):
+            bears[self.suffix[bears & (self.depth == d)]] = True
+        kept = bears[self.child]
+        return replace(self, edges=self.edges[kept], child=self.child[kept])
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """By symbol, the start last: its state of one symbol, 0 for none."""
+        states = np.zeros(self.start + 1, np.int64)
+        one = self.edges >> 32 == 0
+        states[self.edges[one]] = self.child[one]
+        return states
+
     def chance(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """log10 of the symbols' chances in states."""
         out, todo, node = np.zeros(len(node)), np.arange(len(node)), node.copy()
@@ -413,27 +448,25 @@ def grow(training: DataFrame, words: Words) -> Tree:
     tree, level, states = Tree.empty(seen), 1, 0
     while len(tree.suffix) > states:
         states = len(tree.suffix)
-        counts = written(
+        enough = F.when(F.col("symbol") == WHOLE, least(words.tokens)).otherwise(
+            followed(words.tokens)
+        )
+        counts = (
             coded.mapInArrow(
                 extension_counter(context.broadcast(tree), level),
                 "context long, symbol int, n long",
             )
             .groupBy("context", "symbol")
-            .agg(F.sum("n").alias("n")),
-            "lm-extensions",
-        )
-        totals = counts.groupBy("context").agg(F.sum("n").alias("n"))
-        totals = totals.filter(F.col("n") >= least(words.tokens)).orderBy("context").toArrow()
-        pairs = counts.filter(F.col("n") >= followed(words.tokens)).toArrow()
-        tree = tree.extended(
-            totals["context"].to_numpy(),
-            totals["n"].to_numpy().astype(np.float64),
-            (
-                pairs["context"].to_numpy(),
-                pairs["symbol"].to_numpy().astype(np.int64),
-                pairs["n"].to_numpy().astype(np.float64),
-            ),
+            .agg(F.sum("n").alias("n"))
+            .filter(F.col("n") >= enough)
+            .toArrow()
         )
+        state, symbol, n = (counts[c].to_numpy().astype(np.int64) for c in counts.column_names)
+        order = np.lexsort((symbol, state))
+        state, symbol, n = state[order], symbol[order], n[order].astype(np.float64)
+        whole = symbol == WHOLE
+        pairs = (state[~whole], symbol[~whole], n[~whole])
+        tree = tree.extended(state[whole], n[whole], pairs)
         level += 1
     return tree
 
