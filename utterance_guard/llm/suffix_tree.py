@@ -14,8 +14,9 @@ tenth of an occurrence, with as much left for words never seen.
 So symbols, and states of a level, grow with the corpus, but there are at most N / least, under
 16 sqrt(N), of each (of following symbols kept with a state: eight times as many): a table that
 every task can have, while the corpus itself is never gathered. Counts of words and of extensions
-are Spark tables. Words of at least ``COMMON`` of all tokens are looked up by every task as well;
-all other words by a join, in which none makes up more than ``COMMON`` of the rows.
+are Spark tables. Words of at least ``COMMON`` of all tokens, of which there are a million at most,
+are looked up by every task as well; all other words by a join, in which none makes up more than
+``COMMON`` of all tokens.
 
 Defined results: a null text is an empty one, which is one end; a text may be as long as a row can
 be. There is one row for each row, also for those that share a doc_id, or text, or have no
@@ -31,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from utterance_guard.llm.common import LOWER, arrow_bytes, small_batches, text_b
 
 FOLDS = 10
 ADD = 0.1
-COMMON = 1e-5
+COMMON = 1e-6
 #: Normal deviate of the likelihood-ratio test, about one in ten thousand.
 TEST = 3.72
 #: Least divergence of a state from its suffix, in nats a symbol.
@@ -139,8 +141,7 @@ class Words:
         return self.symbols  # stands before a text
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        get = self.rank.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
     def symbols_of(self, ranks: np.ndarray) -> np.ndarray:
         """The start, the symbols of a text's words, and its end."""
@@ -155,9 +156,18 @@ def encoder(shared):
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
+        symbols = zip(words.rank, words.symbol.tolist())
+        named = {w: s for w, s in symbols if s != OTHER}
+
+        def code(text: bytes) -> bytes:
+            own = text.translate(LOWER).split()
+            out = np.empty(len(own) + 2, "<i4")
+            out[0], out[-1] = words.start, words.end
+            out[1:-1] = np.fromiter(map(named.get, own, repeat(OTHER)), np.int32, len(own))
+            return out.tobytes()
+
         for batch in batches:
-            rows = (words.ranks(t.translate(LOWER).split()) for t in batch.column("text").to_pylist())
-            coded = [words.symbols_of(r).astype("<i4").tobytes() for r in rows]
+            coded = [code(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(coded, pa.binary())], names=["symbols"])
 
     return encode
@@ -201,6 +211,9 @@ def extension_counter(shared_tree, level: int):
                 flat = raw[4 * begin : 4 * end].view("<i4").astype(np.int64)
                 node, before = tree.longest(flat)
                 at = np.flatnonzero((tree.depth[node] == level - 1) & (before >= 0))
+                if level > 1:  # an extension occurs no more often than its first two symbols
+                    oldest = flat[before[at]] << 32 | flat[before[at] + 1]
+                    at = at[find(tree.often, oldest) >= 0]
                 held.append((node[at] << 32 | flat[before[at]], flat[at]))
                 n += len(at)
                 if n > 4 * FLUSH:
@@ -241,6 +254,8 @@ class Tree:
     follows: np.ndarray
     chances: np.ndarray
     shares: np.ndarray
+    #: Pairs of neighbours seen often enough to be judged, sorted.
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @classmethod
     def empty(cls, seen: np.ndarray) -> Tree:
@@ -344,6 +359,7 @@ class Tree:
             follows[by_follow],
             chances[by_follow],
             shares[by_follow],
+            self.often,
         )
 
 
@@ -425,8 +441,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
         "lm-words",
     )
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.filter(~is_rare(size[0]))
-    words = Words.of(size[0], size[1], [(bytes(r[0]), r[1]) for r in common.collect()])
+    common = counts.filter(~is_rare(size[0])).toArrow()
+    common = list(zip(common["word"].to_pylist(), common["n"].to_pylist()))
+    words = Words.of(size[0], size[1], common)
     return Model(words, grow(training, words), counts)
 
 
@@ -466,6 +483,9 @@ def grow(training: DataFrame, words: Words) -> Tree:
         state, symbol, n = state[order], symbol[order], n[order].astype(np.float64)
         whole = symbol == WHOLE
         pairs = (state[~whole], symbol[~whole], n[~whole])
+        if level == 1:
+            neighbours = pairs[2] >= least(words.tokens)
+            tree.often = pairs[0][neighbours] << 32 | pairs[1][neighbours]
         tree = tree.extended(state[whole], n[whole], pairs)
         level += 1
     return tree
