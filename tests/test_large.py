@@ -5,15 +5,17 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from utterance_guard.functions.text import HARASSMENT_LABEL
-from utterance_guard.operators import curate, patterns
+from utterance_guard.operators import curate, patterns, scoring
 from utterance_guard.operators.cascade import moderate
 from utterance_guard.operators.lexicon import blocklist
 from utterance_guard.operators.patterns import PatternIndex
+from utterance_guard.operators.sizes import uses_that_fit
 from utterance_guard.operators.skew import SALT, hot_keys, salted, skewed_join
 from utterance_guard.plans import fixed
 from utterance_guard.sources import files
@@ -219,3 +221,31 @@ def test_split_by_text(spark, percent):
 def test_split_of_nothing(spark):
     df = spark.createDataFrame([], "row_id long, text string, label int")
     assert curate.split_texts(df, 1).count() == 0
+
+
+@pytest.mark.parametrize("least", [1, 3, 1 << 62])
+@pytest.mark.parametrize("kind", ["decimal(18,4)", "decimal(18,12)", "double"])
+def test_only_uncommon_tokens_of_a_large_vocabulary_are_shuffled(spark, monkeypatch, least, kind):
+    texts = [(1, "the the rare"), (2, "the odd odd odd"), (3, ""), (4, "unknown"), (None, "the")]
+    df = spark.createDataFrame(texts, "row_id bigint, text string")
+    rows = [(m, t, str(w * m)) for m in (1, 2) for t, w in (("the", 0.25), ("rare", 2), ("odd", -1))]
+    weights = spark.createDataFrame(rows, "member int, token string, w string").withColumn(
+        "w", F.col("w").cast(kind)
+    )
+    monkeypatch.setattr(scoring, "uses_that_fit", lambda used, uses: least)
+    model = scoring.WeightScorer(
+        weights, {1: Decimal("0.5"), 2: Decimal("-0.5")}, inline_tokens=0, can_broadcast=False
+    )
+    got = {r["row_id"]: [float(m) for m in r["margins"]] for r in model.margins(df).collect()}
+    assert got == {
+        1: [3.0, 4.5], 2: [-2.25, -6.0], 3: [0.5, -0.5], 4: [0.5, -0.5], None: [0.5, -0.5]
+    }
+    if kind == "decimal(18,4)":  # a sum of decimals makes an object per token
+        assert {t for c, t in model._wide().dtypes if c != "token"} == {"bigint"}
+
+
+def test_the_most_used_rows_fit(spark):
+    rows = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7), ("d", 1)], "t string, uses bigint")
+    assert [uses_that_fit(rows, "uses", max_rows=n) for n in (4, 3, 2, 1)] == [1, 4, 8, 2**62]
+    assert uses_that_fit(rows, "uses", max_bytes=3 * 17) == 4
+    assert uses_that_fit(rows.limit(0), "uses") == 2**62

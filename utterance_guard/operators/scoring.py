@@ -28,9 +28,9 @@ from utterance_guard.functions.probability import (
     softmax,
 )
 from utterance_guard.functions.text import LABELS, normalize, tokens
-from utterance_guard.operators.sizes import fits_broadcast, rows_if_few
-from utterance_guard.operators.skew import skewed_join
+from utterance_guard.operators.sizes import fits_broadcast, rows_if_few, uses_that_fit
 from utterance_guard.operators.stages import settle
+from utterance_guard.session import cut_lineage
 
 INLINE_TOKENS = 128
 
@@ -69,7 +69,8 @@ class WeightScorer:
 
     A vocabulary of up to ``inline_tokens`` becomes part of the projection, so that scoring
     shuffles nothing. A larger one is joined to the exploded tokens; partial sums leave one
-    narrow row per text before the shuffle. Decimal weights are summed exactly.
+    narrow row per text before the shuffle. Decimal weights are summed exactly: a join adds
+    them as integers of their last digit, since a decimal sum makes an object per token.
     """
 
     weights: DataFrame
@@ -90,17 +91,34 @@ class WeightScorer:
             sums[list(self.bias).index(r["member"])] += r["w"]
 
     def _wide(self) -> DataFrame:
-        """One row per token, one column per member."""
+        """One row per token, one column per member, in the units of ``_in_units``."""
         zero = F.lit(0).cast(self._sum_type)
         return self.weights.groupBy("token").agg(
             *[
-                F.coalesce(
+                self._in_units(F.coalesce(
                     F.sum(F.when(F.col("member") == m, F.col("w"))).cast(self._sum_type), zero
-                ).alias(self._name(m))
+                )).alias(self._name(m))
                 for m in self.bias
             ]
         )
 
+    @property
+    def _digits(self) -> int | None:
+        """Digits after the point of weights that 64 bits hold, else None."""
+        kind = self._sum_type
+        return kind.scale if isinstance(kind, T.DecimalType) and kind.precision <= 18 else None
+
+    def _in_units(self, value: Column) -> Column:
+        if self._digits is None:
+            return value
+        return (value * F.lit(Decimal(10**self._digits))).cast("long")
+
+    def _from_units(self, total: Column) -> Column:
+        if self._digits is None:
+            return total.cast(self._sum_type)
+        unit = F.lit(Decimal(1).scaleb(-self._digits))
+        return (total.cast("decimal(19,0)") * unit).cast(self._sum_type)
+
     @staticmethod
     def _name(member: int) -> str:
         return f"w_{member}"
@@ -152,17 +170,17 @@ class WeightScorer:
 
     def _joined_margins(self, df: DataFrame) -> DataFrame:
         names = [self._name(m) for m in self.bias]
-        exploded = df.select(self.row_id, F.explode("_tokens").alias("token"))
+        # an inner explode would cut the tokens a second time, to filter texts without any
+        exploded = df.select(self.row_id, F.explode_outer("_tokens").alias("token"))
         small = self.can_broadcast
         wide = self._wide()
         if small is None:
             small = fits_broadcast(wide)
         if small:
-            joined = exploded.join(F.broadcast(wide), "token")
+            found = exploded.join(F.broadcast(wide), "token")
         else:
-            # a common token may make up much of all rows
-            joined = skewed_join(exploded, wide, "token", self.row_id)
-        sums = joined.groupBy(self.row_id).agg(*[F.sum(n).alias(n) for n in names])
+            found = self._found(exploded, wide, names)
+        sums = found.groupBy(self.row_id).agg(*[F.sum(n).alias(n) for n in names])
         return (
             df.join(sums, self.row_id, "left")
             .withColumn(
@@ -170,7 +188,7 @@ class WeightScorer:
                 F.array(
                     *[
                         (
-                            F.coalesce(F.col(n).cast(self._sum_type), self._literal(0))
+                            F.coalesce(self._from_units(F.col(n)), self._literal(0))
                             + self._literal(b)
                         ).cast(self._sum_type)
                         for n, b in zip(names, self.bias.values(), strict=True)
@@ -180,6 +198,30 @@ class WeightScorer:
             .drop(*names)
         )
 
+    def _found(self, exploded: DataFrame, wide: DataFrame, names: list[str]) -> DataFrame:
+        """Rows of a text that sum up to the weights of its tokens, where the vocabulary is too
+        large to be broadcast.
+
+        Most tokens of a corpus are few words: as many of the most used as may be broadcast are
+        added up before anything is shuffled, and only the other tokens are joined by a shuffle.
+        None of those is common enough to crowd a task.
+        """
+        uses = exploded.groupBy("token").agg(F.count("*").alias("_uses"))
+        used = cut_lineage(wide.join(uses, "token"))
+        least = uses_that_fit(used, "_uses")
+        common = used.filter(F.col("_uses") >= least).drop("_uses")
+        other = used.filter(F.col("_uses") < least).drop("_uses")
+        known = F.broadcast(common.withColumn("_known", F.lit(True)))
+        parts = cut_lineage(
+            exploded.join(known, "token", "left")
+            .groupBy(self.row_id, F.when(F.col("_known").isNull(), F.col("token")).alias("token"))
+            .agg(F.count("*").alias("_times"), *[F.sum(n).alias(n) for n in names])
+        )
+        rest = parts.filter("token IS NOT NULL").drop(*names).join(other, "token")
+        each = F.array_repeat(F.lit(0), F.col("_times").cast("int"))  # exact in every type
+        rest = rest.select(self.row_id, *names, F.explode(each)).select(self.row_id, *names)
+        return parts.filter("token IS NULL").select(self.row_id, *names).unionByName(rest)
+
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         logits = [
             F.array(F.lit(0.0), F.get("margins", F.lit(i)).cast("double"))
