@@ -90,14 +90,25 @@ def training_rows(df: DataFrame, seed: int, settings: Settings = Settings()) ->
     return df.withColumn("weight", weight * bootstrap_weight(seed)).filter("weight > 0")
 
 
+def with_counts(tokenised: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Hashed counts in place of the tokens, for rows that are fitted: a fit passes over them
+    several times, and they are a fraction of the tokens' size."""
+    hashing = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=settings.features)
+    return hashing.transform(tokenised).drop("tokens")
+
+
 def fit(tokenised: DataFrame, seed: int, settings: Settings = Settings()) -> PipelineModel:
-    """Fit one member on rows with ``row_id, label, tokens``."""
+    """Fit one member on rows with ``row_id, label, tokens``, or with ``counts`` (of the same
+    settings) for ``tokens``. The model takes tokens."""
+    counts = f"counts_{seed}"
+    hashing = HashingTF(inputCol="tokens", outputCol=counts, numFeatures=settings.features)
     rows = training_rows(tokenised, seed, settings)
+    if "counts" in tokenised.columns:
+        counted = rows.withColumnRenamed("counts", counts)
+    else:
+        counted = hashing.transform(rows)
     stages = [
-        HashingTF(
-            inputCol="tokens", outputCol=f"counts_{seed}", numFeatures=settings.features
-        ),
-        IDF(inputCol=f"counts_{seed}", outputCol=f"features_{seed}"),
+        IDF(inputCol=counts, outputCol=f"features_{seed}"),
         LogisticRegression(
             featuresCol=f"features_{seed}",
             labelCol="label",
@@ -110,7 +121,8 @@ def fit(tokenised: DataFrame, seed: int, settings: Settings = Settings()) -> Pip
             family="binomial",
         ),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=stages).fit(counted.select("label", "weight", counts))
+    return PipelineModel([hashing, *fitted.stages])
 
 
 def fit_residual(
@@ -228,13 +240,16 @@ def multi_seed(
     settings: Settings = Settings(),
 ) -> tuple[dict[int, PipelineModel], DataFrame]:
     """One model per seed, all measured on the same fixed set: the models, and a row of
-    metrics per seed. The cleaned and tokenised set is written once for all fits, and the fixed
-    set is read and scored once for all models."""
-    ready = cut_lineage(with_tokens(clean_labelled(labelled), settings.kind))
+    metrics per seed. The cleaned set is written once for all fits, as hashed counts and the
+    sides of every seed, and the fixed set is read and scored once for all models."""
+    ready = with_counts(with_tokens(clean_labelled(labelled), settings.kind), settings)
+    sides = {seed: f"side_{seed}" for seed in seeds}
+    for seed, side in sides.items():
+        ready = split_hash(ready, seed).withColumnRenamed("side", side)
+    ready = cut_lineage(ready.select("row_id", "label", "counts", *sides.values()))
     models = {}
-    for seed in seeds:
-        train = split_hash(ready, seed).filter(F.col("side") == TRAIN)
-        models[seed] = fit(train, seed, settings)
+    for seed, side in sides.items():
+        models[seed] = fit(ready.filter(F.col(side) == TRAIN), seed, settings)
     held = evaluation.select("row_id", "text", F.col("label").alias("_expected"))
     rows = member_rows(
         score_members(held, ModelScorer(models, settings.kind)), "row_id", "_expected"

@@ -204,8 +204,7 @@ class WeightScorer:
 
         Most tokens of a corpus are few words: as many of the most used as may be broadcast are
         added up before anything is shuffled, and only the other tokens are joined by a shuffle.
-        None of those is common enough to crowd a task.
-        """
+        None of those is common enough to crowd a task.         """
         uses = exploded.groupBy("token").agg(F.count("*").alias("_uses"))
         used = cut_lineage(wide.join(uses, "token"))
         least = uses_that_fit(used, "_uses")
@@ -251,10 +250,11 @@ class ModelScorer:
             last = model.stages[-1]
             logits.append(vector_to_array(last.getRawPredictionCol()))
             probabilities.append(vector_to_array(last.getProbabilityCol()))
-        scored = scored.select(
-            "_row.*", F.array(*logits).alias("_logits"), F.array(*probabilities).alias("_probs")
+        # whoever explodes the members filters on their number: not by scoring a second time
+        settled = settle(scored, _logits=F.array(*logits), _probs=F.array(*probabilities))
+        return _with_members(
+            settled.select("_row.*", "_logits", "_probs"), list(self.models), self.labels
         )
-        return _with_members(scored, list(self.models), self.labels)
 
 
 @dataclass
