@@ -76,6 +76,14 @@ def test_hashed_counts_fit_like_tokens(labelled):
     assert abs(a.stages[-1].coefficients.toArray() - b.stages[-1].coefficients.toArray()).max() < 1e-9
 
 
+def test_selection_takes_candidates_of_different_features(labelled):
+    candidates = [learn.Settings(features=f, rounds=5) for f in (16, 1 << 18)]
+    _, best, scores = learn.select_best(
+        learn.clean_labelled(labelled), labelled, 42, candidates, patience=2
+    )
+    assert best == candidates[scores.index(max(scores))] and len(scores) == 2
+
+
 def test_members_are_exploded_without_scoring_twice(labelled, models):
     rows = member_rows(score_members(labelled, ModelScorer(models)))
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
