@@ -88,3 +88,17 @@ def test_members_are_exploded_without_scoring_twice(labelled, models):
     rows = member_rows(score_members(labelled, ModelScorer(models)))
     plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [line for line in plan if "Filter" in line and "UDF" in line]
+
+
+def test_exported_weights_know_their_uses(labelled, models, monkeypatch):
+    monkeypatch.setattr(scoring, "uses_that_fit", lambda used, uses: 50)
+    exported = learn.export_weights(
+        models, learn.with_tokens(labelled), inline_tokens=0, can_broadcast=False
+    )
+    uses = {r["token"]: r["uses"] for r in exported.weights.collect()}
+    assert uses["awful"] == 40 and uses["fine"] == 80
+    p1 = F.get("probabilities", F.lit(1)).alias("p")
+    a = score_texts(labelled, ModelScorer(models)).select("row_id", p1)
+    b = score_texts(labelled, exported).select("row_id", p1.alias("q"))
+    worst = a.join(b, "row_id").agg(F.count("*"), F.max(F.abs(F.col("p") - F.col("q")))).first()
+    assert worst[0] == 120 and worst[1] < 1e-9

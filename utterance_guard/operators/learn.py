@@ -286,11 +286,13 @@ def evaluate_and_record(
 def export_weights(
     models: dict[int, PipelineModel], tokenised: DataFrame, kind: str = "word", **options
 ) -> WeightScorer:
-    """The fitted models as a table ``member, token, w`` of all distinct tokens of ``tokenised``
-    (column ``tokens``). A token weighs what the model adds for a text of that token alone, so
-    tokens that share a hashed feature share its weight. The table is written, not collected."""
-    alone = tokenised.select(F.explode("tokens").alias("token")).distinct()
-    alone = alone.select("token", F.array("token").alias("tokens"))
+    """The fitted models as a table ``member, token, uses, w`` of all distinct tokens of
+    ``tokenised`` (column ``tokens``). A token weighs what the model adds for a text of that
+    token alone, so tokens that share a hashed feature share its weight. The table is written,
+    not collected."""
+    each = tokenised.select(F.explode_outer("tokens").alias("token"))
+    alone = each.groupBy("token").agg(F.count("*").alias("uses")).filter("token IS NOT NULL")
+    alone = alone.select("token", "uses", F.array("token").alias("tokens"))
     bias = {seed: float(model.stages[-1].intercept) for seed, model in models.items()}
     weights = []
     for seed, model in models.items():
@@ -300,6 +302,7 @@ def export_weights(
             F.struct(
                 F.lit(seed).alias("member"),
                 "token",
+                "uses",
                 (F.get(raw, F.lit(1)) - F.lit(bias[seed])).alias("w"),
             )
         )

@@ -204,8 +204,14 @@ class WeightScorer:
 
         Most tokens of a corpus are few words: as many of the most used as may be broadcast are
         added up before anything is shuffled, and only the other tokens are joined by a shuffle.
-        None of those is common enough to crowd a task.         """
-        uses = exploded.groupBy("token").agg(F.count("*").alias("_uses"))
+        None of those is common enough to crowd a task. Uses are counted in the texts, unless
+        the weights have a column ``uses``; the sums are the same with any.
+        """
+        if "uses" in self.weights.columns:
+            known = F.coalesce(F.max("uses"), F.lit(1)).cast("long")
+            uses = self.weights.groupBy("token").agg(known.alias("_uses"))
+        else:
+            uses = exploded.groupBy("token").agg(F.count("*").alias("_uses"))
         used = cut_lineage(wide.join(uses, "token"))
         least = uses_that_fit(used, "_uses")
         common = used.filter(F.col("_uses") >= least).drop("_uses")

@@ -566,12 +566,15 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
 def export_gap(spark: SparkSession, folder: str) -> DataFrame:
     """Documents on which a fitted model and its exported weights differ."""
     rows = curate.split_hash(curate.clean_labelled(labelled(spark, folder)), SEED)
-    train = cut_lineage(learn.with_tokens(rows.filter(F.col("side") == curate.TRAIN)))
-    models = {SEED: learn.fit(train, SEED, learn.Settings(rounds=5))}
-    docs = cut_lineage(learn.with_tokens(documents(spark, folder, spread=True)))
-    exported = learn.export_weights(models, docs)
-    own = member_rows(score_members(docs.drop("tokens"), ModelScorer(models)))
-    other = member_rows(score_members(docs.drop("tokens"), exported))
+    settings = learn.Settings(rounds=5)
+    train = learn.with_tokens(rows.filter(F.col("side") == curate.TRAIN))
+    train = cut_lineage(learn.with_counts(train, settings).select("row_id", "label", "counts"))
+    models = {SEED: learn.fit(train, SEED, settings)}
+    # texts are cut again by whoever needs tokens: written, those take several times the space
+    docs = documents(spark, folder, spread=True)
+    exported = learn.export_weights(models, learn.with_tokens(docs))
+    own = member_rows(score_members(docs, ModelScorer(models)))
+    other = member_rows(score_members(docs, exported))
     both = own.select("row_id", "p1").join(
         other.select("row_id", F.col("p1").alias("exported")), "row_id", "full"
     )
