@@ -200,3 +200,14 @@ def test_rows_of_texts_do_not_share_a_key_of_the_join(spark):
     ends = {bytes(r["word"]) for r in keyed if not r["times"]}
     assert len(ends) == 50 and all(k.startswith(b" ") for k in ends)
     assert [bytes(r["word"]) for r in keyed if r["times"]] == [b"rare"] * 3
+
+
+def test_the_sieve_finds_what_a_search_finds():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5000):
+        table = np.unique(rng.integers(0, 9000, size) << 32 | rng.integers(0, 6000, size))
+        keys = rng.permutation(np.concatenate((rng.integers(0, 9000, 20_000) << 32, table, table)))
+        at = suffix_tree.find(table, keys)
+        which, places = suffix_tree.Sieve(table).find(keys)
+        assert which.tolist() == np.flatnonzero(at >= 0).tolist()
+        assert places.tolist() == at[at >= 0].tolist()

@@ -35,6 +35,7 @@ from functools import cached_property
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,10 +191,12 @@ def extension_counter(shared_tree, level: int):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, held, n = shared_tree.value.towards(level - 1), [], 0
+        often = Sieve(tree.often)
 
         def part() -> pa.RecordBatch:
             context, symbol = (np.concatenate(x) for x in zip(*held))
-            context, own, total = np.unique(context, return_inverse=True, return_counts=True)
+            own, context = pd.factorize(context)
+            total = np.bincount(own)
             pair, times = np.unique(own << 32 | symbol, return_counts=True)
             symbol = np.concatenate((pair & LOW, np.full(len(context), WHOLE)))
             return pa.RecordBatch.from_arrays(
@@ -213,7 +216,7 @@ def extension_counter(shared_tree, level: int):
                 at = np.flatnonzero((tree.depth[node] == level - 1) & (before >= 0))
                 if level > 1:  # an extension occurs no more often than its first two symbols
                     oldest = flat[before[at]] << 32 | flat[before[at] + 1]
-                    at = at[find(tree.often, oldest) >= 0]
+                    at = at[often.find(oldest)[0]]
                 held.append((node[at] << 32 | flat[before[at]], flat[at]))
                 n += len(at)
                 if n > 4 * FLUSH:
@@ -233,6 +236,27 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+class Sieve:
+    """Looks keys up in a sorted table, most of which it does not have: those are told by a
+    slot of a few bits of their hash, at a fraction of a search."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.table = table
+        self.shift = np.uint64(64 - max(16, (16 * len(table)).bit_length()))
+        self.taken = np.zeros(1 << int(64 - self.shift), bool)
+        self.taken[self.slots(table)] = True
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = np.ascontiguousarray(keys).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are in the table, and their places there."""
+        maybe = np.flatnonzero(self.taken[self.slots(keys)])
+        at = find(self.table, keys[maybe])
+        return maybe[at >= 0], at[at >= 0]
+
+
 LOW = np.int64((1 << 32) - 1)
 WHOLE = -1
 
@@ -279,8 +303,8 @@ class Tree:
             whole = flat[before[go]] == self.start
             before[go] = np.where(whole, -1, before[go] - 1)
             go = go[~whole]
-            at = find(self.edges, node[go] << 32 | flat[before[go]])
-            go, to = go[at >= 0], self.child[at[at >= 0]]
+            there, at = self.sieve.find(node[go] << 32 | flat[before[go]])
+            go, to = go[there], self.child[at]
         return node, before
 
     def towards(self, depth: int) -> Tree:
@@ -291,6 +315,10 @@ class Tree:
         kept = bears[self.child]
         return replace(self, edges=self.edges[kept], child=self.child[kept])
 
+    @cached_property
+    def sieve(self) -> Sieve:
+        return Sieve(self.edges)
+
     @cached_property
     def first(self) -> np.ndarray:
         """By symbol, the start last: its state of one symbol, 0 for none."""
@@ -397,7 +425,7 @@ def scorer(shared_words, shared_tree):
             flat = np.concatenate(coded)
             inside = flat != words.start
             node = tree.longest(flat)[0][inside]
-            pair, back = np.unique(node << 32 | flat[inside], return_inverse=True)
+            back, pair = pd.factorize(node << 32 | flat[inside])
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))
             chance = tree.chance(pair >> 32, pair & LOW)[back]
             total = np.add.reduceat(chance, begin) + np.array(within)
